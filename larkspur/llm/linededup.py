@@ -13,6 +13,8 @@ EDITS = 2
 LEAST_CHARS = 24
 #: Rows of a segment index entry above which it is refined before its pairs are made.
 CROWDED = 24
+#: Columns of the edit matrix after which a pair that is too far apart is given up.
+_COLUMNS = 24
 
 
 def _spans(length: Column, edits: int) -> list[tuple[Column, Column]]:
@@ -163,16 +165,31 @@ def edits_within(a: str, b: str, edits: int) -> Column:
         gap = F.bit_count(s["vp"].bitwiseAND(mask)) - F.bit_count(s["vn"].bitwiseAND(mask))
         return F.when(s["score"] > 3 * k, s["score"]).otherwise(s["score"] - gap)
 
-    run = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), start, step, end)
+    def block(s: Column, j: Column) -> Column:
+        ours = F.sequence(j, F.least(j + (_COLUMNS - 1), n))
+        return F.when(s["score"] > 3 * k, s).otherwise(F.aggregate(ours, s, step))
+
+    run = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n, F.lit(_COLUMNS))).otherwise(F.array().cast("array<int>")), start, block, end)
     return F.when(F.abs(n - m) > k, F.lit(3 * k + 1)).otherwise(run)
 
 
+def _trimmed(pairs: DataFrame) -> DataFrame:
+    """The pairs without the common start of `la` and `lb`, which is found by steps of falling powers of two."""
+    most = F.least(F.length("la"), F.length("lb"))
+    powers = F.transform(F.sequence(F.ceil(F.log2(most + 1.0)).cast("int"), F.lit(0)), lambda i: F.pow(F.lit(2.0), i).cast("int"))
+    grown = F.aggregate(powers, F.lit(0), lambda p, w: F.when(
+        (p + w <= most) & (F.substring("la", p + 1, w) == F.substring("lb", p + 1, w)), p + w).otherwise(p))
+    at = pairs.select("*", F.explode(F.array(grown)).alias("_p"))
+    return at.select("a", "b", *[F.substring(c, F.col("_p") + 1, F.length(c)).alias(c) for c in ("la", "lb")])
+
+
 def _measured(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     """The pairs (a, b) whose lines are within `edits`."""
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     text = cut(joined_small(lines.select("id", "line"), ids, "id", "left_semi"))
     at = pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("la")), "a")
     at = at.join(text.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
+    at = _trimmed(_trimmed(at).select("a", "b", F.reverse("la").alias("la"), F.reverse("lb").alias("lb")))
     at = at.select("a", "b", F.inline(F.array(F.struct(F.split("la", "").alias("_a"), F.split("lb", "").alias("_b")))))
     return at.where(edits_within("_a", "_b", edits) <= edits).select("a", "b")
 
@@ -192,7 +209,7 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS,
     """
     long = _lines(docs, id_col, text).where(F.length("line") >= least)
     long = long.withColumn("id", F.xxhash64("line"))
-    spot = F.coalesce("doc", F.lit(-(10**19)).cast("decimal(20,0)")).cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(12,0)") + F.col("no")
+    spot = F.coalesce("doc", F.lit("-1" + "0" * 19).cast("decimal(20,0)")).cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(12,0)") + F.col("no")
     spots = stored(long.select("doc", "th", "no", "id", spot.cast("decimal(38,0)").alias("spot")))
     lines = stored(long.groupBy("id").agg(F.first("line").alias("line")))
     firsts = spots.groupBy("id").agg(F.min("spot").alias("first"), F.count("*").alias("n"))
