@@ -12,7 +12,9 @@ EDITS = 2
 #: Lines of fewer characters take no part and always stay.
 LEAST_CHARS = 24
 #: Rows of a segment index entry above which it is refined before its pairs are made.
-CROWDED = 24
+CROWDED = 6
+#: Rows up to which a table of bare ids is broadcast (some 10 MB); beyond it the lines are shuffled to the ids.
+IDS = 400_000
 #: Columns of the edit matrix after which a pair that is too far apart is given up.
 _COLUMNS = 24
 
@@ -29,17 +31,22 @@ def _spans(length: Column, edits: int) -> list[tuple[Column, Column]]:
 
 
 def _piece(text: Column, start: Column, n: Column) -> Column:
-    return F.substring(text, start + 1, n)
+    return F.substring(text, start * 4 + 1, n * 4)
 
 
 def _without(text: Column, start: Column, n: Column) -> Column:
     """The text but for n characters from `start`."""
-    return F.concat(F.substring(text, F.lit(1), start), F.substring(text, start + n + 1, F.length(text)))
+    return F.concat(F.substring(text, F.lit(1), start * 4), F.substring(text, (start + n) * 4 + 1, F.length(text)))
+
+
+def _size(text: str) -> Column:
+    """Characters of a text in UTF-32."""
+    return F.shiftright(F.length(text), 2)
 
 
 def _indexed(edits: int, rest: bool) -> Column:
     """The index entries of `s`: one signature per segment, of the segment's place, the length of s and `key`."""
-    n = F.length("s")
+    n = _size("s")
     out = []
     for i, (p, w) in enumerate(_spans(n, edits)):
         parts = [F.xxhash64(F.col("key"), n, F.lit(i), _piece(F.col("s"), p, w)).alias("sig")]
@@ -55,11 +62,11 @@ def _probed(edits: int, gaps: Column | None, rest: bool) -> Column:
     """
     out = []
     for gap in range(edits + 1):
-        n = F.length("s") - gap
+        n = _size("s") - gap
         for i, (p, w) in enumerate(_spans(n, edits)):
             for off in range(max(-i, gap - (edits - i)), min(i, gap + (edits - i)) + 1):
                 start = p + off
-                ok = (n > 0) & (start >= 0) & (start + w <= F.length("s"))
+                ok = (n > 0) & (start >= 0) & (start + w <= _size("s"))
                 if gaps is not None:
                     ok = ok & (gaps == gap)
                 parts = [F.when(ok, F.xxhash64(F.col("key"), n, F.lit(i), _piece(F.col("s"), start, w))).alias("sig"), F.lit(gap).alias("gap")]
@@ -67,11 +74,16 @@ def _probed(edits: int, gaps: Column | None, rest: bool) -> Column:
     return F.array(*out)
 
 
-def _met(index: DataFrame, probe: DataFrame) -> DataFrame:
-    """Pairs of ids that share a signature; of equal lengths each pair comes once."""
-    i = index.select("sig", F.col("id").alias("a"))
-    p = probe.select("sig", "gap", F.col("id").alias("b"))
-    return i.join(p, "sig").where(((F.col("gap") > 0) & (F.col("a") != F.col("b"))) | (F.col("a") < F.col("b"))).select("a", "b")
+def _met(index: DataFrame, probe: DataFrame, edits: int) -> DataFrame:
+    """Pairs of ids that share a signature; of equal lengths each pair comes once. Where the rows carry what is left of
+    their lines, the join itself holds that to the limit, so that it emits only true pairs.
+    """
+    i = index.withColumnsRenamed({"id": "a", "rest": "_ra", "sig": "_s"})
+    p = probe.withColumnsRenamed({"id": "b", "rest": "_rb"})
+    on = (F.col("_s") == F.col("sig")) & (((F.col("gap") > 0) & (F.col("a") != F.col("b"))) | (F.col("a") < F.col("b")))
+    if "_ra" in i.columns:
+        on = on & (edits_within(F.col("_ra"), F.col("_rb"), edits) <= edits)
+    return i.join(p, on).select("a", "b")
 
 
 def candidates(lines: DataFrame, edits: int = EDITS, crowded: int = CROWDED) -> DataFrame:
@@ -83,17 +95,18 @@ def candidates(lines: DataFrame, edits: int = EDITS, crowded: int = CROWDED) ->
     share a signature or what is left is no longer than `edits`. Then any two are within `edits` once more, and each is
     paired with the least id of them only, which keeps them connected. So no pair of a crowd is lost to the components.
     """
-    level = lines.select(F.lit(0).cast("long").alias("key"), "id", F.col("line").alias("s"))
+    # UTF-32 gives every character four bytes, so that a substring is found without reading what is before it
+    level = lines.select(F.lit(0).cast("long").alias("key"), "id", F.encode("line", "UTF-32").alias("s"))
     index = level.select("id", F.inline(_indexed(edits, False)))
     probe = level.select("id", F.inline(_probed(edits, None, False))).where("sig is not null")
     found: DataFrame | None = None
     while True:
         hot = cut(index.groupBy("sig").agg(F.count("*").alias("_n")).where(F.col("_n") > crowded).select("sig"))
         some = hot.limit(1).count() > 0
-        calm_i, calm_p = index.select("sig", "id"), probe.select("sig", "gap", "id")
+        calm_i, calm_p = index, probe
         if some:
             calm_i, calm_p = (joined_small(x, hot, "sig", "left_anti") for x in (calm_i, calm_p))
-        pairs = _met(calm_i, calm_p)
+        pairs = _met(calm_i, calm_p, edits)
         found = cut(pairs.distinct() if found is None else pairs.union(found).distinct())
         if not some:
             return found
@@ -101,67 +114,93 @@ def candidates(lines: DataFrame, edits: int = EDITS, crowded: int = CROWDED) ->
             who_i = joined_small(index, hot, "sig", "left_semi")
             who_p = joined_small(probe, hot, "sig", "left_semi")
             ids = cut(who_i.select("id").union(who_p.select("id")).distinct())
-            text = cut(joined_small(level, ids, "id", "left_semi"))
+            text = cut(joined_small(level, ids, "id", "left_semi", IDS))
             index = joined_small(text.select("id", F.inline(_indexed(edits, True))), hot, "sig", "left_semi")
             probe = joined_small(text.select("id", F.inline(_probed(edits, None, True))).where("sig is not null"), hot, "sig", "left_semi")
         else:
             index, probe = (joined_small(x, hot, "sig", "left_semi") for x in (index, probe))
         index, probe = cut(index), cut(probe)
-        short_i, short_p = index.where(F.length("rest") <= edits), probe.where(F.length("rest") <= edits)
+        short_i, short_p = index.where(_size("rest") <= edits), probe.where(_size("rest") <= edits)
         ends = short_i.select("sig", "id").union(short_p.select("sig", "id"))
         low = ends.groupBy("sig").agg(F.min("id").alias("a"))
         stars = ends.join(low, "sig").where("id <> a").select("a", F.col("id").alias("b")).distinct()
         found = cut(found.union(stars))
-        one = index.where(F.length("rest") > edits).select("id", F.col("sig").alias("key"), F.col("rest").alias("s"))
-        two = probe.where(F.length("rest") > edits).select("id", F.col("sig").alias("key"), F.col("rest").alias("s"), F.col("gap").alias("_g"))
+        one = index.where(_size("rest") > edits).select("id", F.col("sig").alias("key"), F.col("rest").alias("s"))
+        two = probe.where(_size("rest") > edits).select("id", F.col("sig").alias("key"), F.col("rest").alias("s"), F.col("gap").alias("_g"))
         index = cut(one.select("id", F.inline(_indexed(edits, True))))
         probe = cut(two.select("id", F.inline(_probed(edits, F.col("_g"), True))).where("sig is not null"))
 
 
-def edits_within(a: str, b: str, edits: int) -> Column:
-    """The edit distance of two string columns if it is at most `edits`, else a greater number.
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _common(a: Column, b: Column, most: Column, at_end: bool, done: Column | None = None) -> Column:
+    """Characters that two UTF-32 texts share at their start, or end, up to `most`; by steps of falling powers of two."""
+    powers = F.transform(F.sequence(F.ceil(F.log2(most + 1.0)).cast("int"), F.lit(0)), lambda i: F.pow(F.lit(2.0), i).cast("int"))
+
+    def part(x: Column, p: Column, w: Column) -> Column:
+        return _piece(x, F.shiftright(F.length(x), 2) - p - w if at_end else p, w)
 
-    Bit-parallel over the band of 2 * edits + 1 diagonals (Hyyro 2003): bit t of a column's word stands for row
-    j - edits + t, vertical differences are kept in two words, and the score follows the lowest diagonal. A text is
-    given up once the lowest diagonal is too high to come back.
+    return F.aggregate(powers, F.lit(0), lambda p, w: F.when((p + w <= most) & (part(a, p, w) == part(b, p, w)), p + w).otherwise(p))
+
+
+def edits_within(a: Column, b: Column, edits: int) -> Column:
+    """The edit distance of two UTF-32 texts if it is at most `edits`, else a greater number.
+
+    Common ends are dropped. Then bit-parallel over the band of 2 * edits + 1 diagonals (Hyyro 2003): bit t of a
+    column's word stands for row j - edits + t, vertical differences are kept in two words, and the score follows the
+    lowest diagonal. A pair is given up once the lowest diagonal is too high to come back.
     """
-    k, w = edits, 2 * edits + 1
+    def sized(s: Column) -> Column:
+        most = F.shiftright(F.least(F.length(s["a"]), F.length(s["b"])), 2)
+        return _let(_common(s["a"], s["b"], most, False), lambda p: _let(
+            _common(s["a"], s["b"], most - p, True), lambda q: _banded(s, p, q, edits)))
+
+    far = F.abs(F.length(a) - F.length(b)) > 4 * edits
+    return F.when(far, F.lit(3 * edits + 1)).otherwise(_let(F.struct(a.alias("a"), b.alias("b")), sized))
+
+
+def _banded(s0: Column, p: Column, q: Column, k: int) -> Column:
+    w = 2 * k + 1
     full = (1 << w) - 1
-    n, m = F.size("_b"), F.size("_a")
+    m, n = (F.shiftright(F.length(s0[c]), 2) - p - q for c in ("a", "b"))
     lit = lambda v: F.lit(v).cast("long")
 
-    def bits(j: Column) -> Column:
-        ch, out = F.get("_b", j - 1), lit(0)
+    def flip(x: Column) -> Column:
+        return x.bitwiseXOR(lit(full))
+
+    def bits(j: Column, ch: Column) -> Column:
+        out = lit(0)
         for t in range(w):
             row = j - k + t
-            out = out + F.when((row >= 1) & (F.get("_a", F.greatest(row - 1, F.lit(0))) == ch), lit(1 << t)).otherwise(lit(0))
+            out = out + F.when((row >= 1) & (row <= m) & (_piece(s0["a"], p + row - 1, F.lit(1)) == ch), lit(1 << t)).otherwise(lit(0))
         return out
 
-    def flip(x: Column) -> Column:
-        return x.bitwiseXOR(lit(full))
-
     def step(s: Column, j: Column) -> Column:
         vp, vn = s["vp"], s["vn"]
+
         def go(pm: Column) -> Column:
             x = pm.bitwiseAND(vp) + vp
             d0 = x.bitwiseXOR(vp).bitwiseOR(pm).bitwiseOR(vn).bitwiseAND(lit(full))
-            def done(d: Column) -> Column:
-                hp = vn.bitwiseOR(flip(d.bitwiseOR(vp)))
-                hn = d.bitwiseAND(vp)
-                down = F.shiftright(d, 1)
-                return F.struct(
-                    hn.bitwiseOR(flip(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"),
-                    (s["score"] + F.when(d.bitwiseAND(lit(1 << 2 * k)) == 0, 1).otherwise(0)).alias("score"))
-            return F.get(F.transform(F.array(d0), done), F.lit(0))
-        return F.when(s["score"] > 3 * k, s).otherwise(F.get(F.transform(F.array(bits(j)), go), F.lit(0)))
+            return _let(d0, done)
 
-    start = F.struct(lit(full ^ ((1 << k) - 1)).alias("vp"), lit(0).alias("vn"), F.lit(k).alias("score"))
+        def done(d: Column) -> Column:
+            hp = vn.bitwiseOR(flip(d.bitwiseOR(vp)))
+            hn = d.bitwiseAND(vp)
+            down = F.shiftright(d, 1)
+            return F.struct(
+                hn.bitwiseOR(flip(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"),
+                (s["score"] + F.when(d.bitwiseAND(lit(1 << 2 * k)) == 0, 1).otherwise(0)).alias("score"))
+
+        one = _let(_piece(s0["b"], p + j - 1, F.lit(1)), lambda ch: _let(bits(j, ch), go))
+        return F.when(s["score"] > 3 * k, s).otherwise(one)
 
     def end(s: Column) -> Column:
         # rows m + 1 to n + k of the last column lie below the wanted one; vp and vn have moved down one row
         below = F.call_function("shiftleft", lit(1), (n + k - m).cast("int")) - 1
-        move = F.lit(w - 1) - (n + k - m)
-        mask = F.call_function("shiftleft", below, move.cast("int"))
+        mask = F.call_function("shiftleft", below, (m + k - n).cast("int"))
         gap = F.bit_count(s["vp"].bitwiseAND(mask)) - F.bit_count(s["vn"].bitwiseAND(mask))
         return F.when(s["score"] > 3 * k, s["score"]).otherwise(s["score"] - gap)
 
@@ -169,29 +208,19 @@ def edits_within(a: str, b: str, edits: int) -> Column:
         ours = F.sequence(j, F.least(j + (_COLUMNS - 1), n))
         return F.when(s["score"] > 3 * k, s).otherwise(F.aggregate(ours, s, step))
 
-    run = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n, F.lit(_COLUMNS))).otherwise(F.array().cast("array<int>")), start, block, end)
-    return F.when(F.abs(n - m) > k, F.lit(3 * k + 1)).otherwise(run)
-
-
-def _trimmed(pairs: DataFrame) -> DataFrame:
-    """The pairs without the common start of `la` and `lb`, which is found by steps of falling powers of two."""
-    most = F.least(F.length("la"), F.length("lb"))
-    powers = F.transform(F.sequence(F.ceil(F.log2(most + 1.0)).cast("int"), F.lit(0)), lambda i: F.pow(F.lit(2.0), i).cast("int"))
-    grown = F.aggregate(powers, F.lit(0), lambda p, w: F.when(
-        (p + w <= most) & (F.substring("la", p + 1, w) == F.substring("lb", p + 1, w)), p + w).otherwise(p))
-    at = pairs.select("*", F.explode(F.array(grown)).alias("_p"))
-    return at.select("a", "b", *[F.substring(c, F.col("_p") + 1, F.length(c)).alias(c) for c in ("la", "lb")])
+    start = F.struct(lit(full ^ ((1 << k) - 1)).alias("vp"), lit(0).alias("vn"), F.lit(k).alias("score"))
+    run = F.aggregate(F.sequence(F.lit(1), n, F.lit(_COLUMNS)), start, block, end)
+    return F.when((n < 1) | (m < 1), F.greatest(n, m)).otherwise(run)
 
 
 def _measured(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     """The pairs (a, b) whose lines are within `edits`."""
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    text = cut(joined_small(lines.select("id", "line"), ids, "id", "left_semi"))
-    at = pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("la")), "a")
-    at = at.join(text.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-    at = _trimmed(_trimmed(at).select("a", "b", F.reverse("la").alias("la"), F.reverse("lb").alias("lb")))
-    at = at.select("a", "b", F.inline(F.array(F.struct(F.split("la", "").alias("_a"), F.split("lb", "").alias("_b")))))
-    return at.where(edits_within("_a", "_b", edits) <= edits).select("a", "b")
+    text = cut(joined_small(lines.select("id", "line"), ids, "id", "left_semi", IDS))
+    text = text.select("id", F.encode("line", "UTF-32").alias("s"))
+    at = pairs.join(text.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+    at = at.join(text.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    return at.where(edits_within(F.col("sa"), F.col("sb"), edits) <= edits).select("a", "b")
 
 
 def _lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
