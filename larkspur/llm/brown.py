@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -69,12 +70,15 @@ class Symbols:
         self.counts = np.array(counts, dtype=np.int64)
         self.head = min(HEAD, len(words))
         self.size = 1 + SHAPES + self.head
+        rest = [1 + shape(w) for w in list(self.place)[self.head:]]
+        # of each known word, and last of an unknown one, whose shape is looked at
+        self.sym = np.array([*range(1 + SHAPES, self.size), *rest, 0], dtype=np.int64)
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(symbol of each word, place among the known words or -1)."""
-        at = np.fromiter((self.place.get(w, -1) for w in words), dtype=np.int64, count=len(words))
-        sym = at + 1 + SHAPES
-        for i in np.flatnonzero((at < 0) | (at >= self.head)).tolist():
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        sym = self.sym[at]
+        for i in np.flatnonzero(at < 0).tolist():
             sym[i] = 1 + shape(words[i])
         return sym, at
 
@@ -216,11 +220,9 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "
     kept = (once + 1.0) / (mass[free + 1:] + 2.0)
     step = transitions(table)
     unit = float(np.log10(n + 0.5 * (v + 1)))
-    place_shape = 1 + np.array([shape(w) for w in symbols.place], dtype=np.int64)
-    ranks = np.arange(len(known))
-    sym_known = np.where(ranks < symbols.head, ranks + 1 + SHAPES, place_shape)
+    ranks, sym_known = np.arange(len(known)), symbols.sym[:-1]
     emit = np.log10(np.maximum(symbols.counts, 1)) - np.log10(mass[classes[sym_known]]) if len(known) else np.zeros(0)
-    emit = emit + np.where(ranks < symbols.head, 0.0, np.log10(1 - kept[place_shape - 1])) if len(known) else emit
+    emit = emit + np.where(ranks < symbols.head, 0.0, np.log10(1 - kept[np.minimum(sym_known, SHAPES) - 1])) if len(known) else emit
     base_known = np.log10(symbols.counts + 0.5) - unit
     base_end = float(np.log10(ends + 0.5)) - unit
     model = spark.sparkContext.broadcast(cloudpickle.dumps((symbols, classes, step, emit, base_known)))
