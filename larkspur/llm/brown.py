@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, stored
 
-#: Classes that exchange words; words of highest count that do; words whose counts are sent to every executor (some 30 MB).
-CLASSES, HEAD, KNOWN = 64, 8192, 1 << 18
+#: Classes that exchange words; words of highest count that do; words whose counts are sent to every executor (some 15 MB).
+CLASSES, HEAD, KNOWN = 64, 8192, 1 << 17
 #: Rounds of exchange; in each one half of the words, by turns, may move.
 ROUNDS = 8
 #: All other words fall into fixed classes by shape: last character, whether all ASCII, whether over ten bytes.
@@ -62,6 +62,25 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
+    """The most frequent words by falling count, then by word: those at or above the least count step at which they are `most` at most.
+
+    Steps are counts cut to their six highest bits, so few rows tell how many words reach each, and no task sorts.
+    """
+    cutoff = F.greatest(F.floor(F.log2(F.col("n").cast("double"))).cast("int") - 5, F.lit(0))
+    step = F.call_function("shiftleft", F.call_function("shiftright", F.col("n"), cutoff), cutoff)
+    held, least = 0, None
+    for r in sorted(counts.groupBy(step.alias("s")).count().collect(), key=lambda r: -r["s"]):
+        held += r["count"]
+        if held > most:
+            break
+        least = r["s"]
+    if least is None:
+        return []
+    got = counts.where(F.col("n") >= least).toPandas()
+    return sorted(zip(got["word"].tolist(), got["n"].tolist()), key=lambda x: (-x[1], x[0]))
+
+
 class Symbols:
     """Numbers for tokens: 0 the end, 1 to SHAPES the shapes, then the head words by count."""
 
@@ -203,8 +222,8 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "
     ends = taught.count()
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n, v = n + ends, v + (ends > 0)
-    known = counts.orderBy(F.col("n").desc(), "word").limit(KNOWN).collect()
-    symbols = Symbols([r["word"] for r in known], [r["n"] for r in known])
+    known = frequent(counts, KNOWN)
+    symbols = Symbols([w for w, _ in known], [c for _, c in known])
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(symbols))
     pairs = stored(pair_counts(taught, text, sent, symbols.size))
     classes, table = exchange(pairs, symbols)
@@ -213,7 +232,7 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "
     # per class: tokens, and the share kept for words never seen
     mass = np.maximum(table.sum(0), 1.0)
     once = np.zeros(SHAPES)
-    head = spark.createDataFrame([(r["word"],) for r in known[: symbols.head]], "word string")
+    head = spark.createDataFrame([(w,) for w, _ in known[: symbols.head]], "word string")
     rare = counts.where("n = 1").join(F.broadcast(head), "word", "left_anti")
     for r in rare.groupBy(shape_of(F.col("word")).alias("s")).count().collect():
         once[r["s"]] = r["count"]
