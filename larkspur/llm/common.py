@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -60,13 +59,16 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    tidy = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(tidy, "false")
+    spark.conf.set(tidy, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(tidy, before)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    del df
-    gc.collect()
-    jvm.System.gc()
     return spark.read.parquet(path)
 
 

@@ -12,24 +12,15 @@ EDITS = 2
 #: Lines of fewer characters take no part and always stay.
 LEAST_CHARS = 24
 #: Rows of a segment index entry above which it is refined before its pairs are made.
-CROWDED = 6
+CROWDED = 24
+#: The same for refined entries, whose pairs the join itself verifies.
+REFINED = 128
 #: Rows up to which a table of bare ids is broadcast (some 10 MB); beyond it the lines are shuffled to the ids.
 IDS = 400_000
 #: Columns of the edit matrix after which a pair that is too far apart is given up.
 _COLUMNS = 24
 
 
-def _spans(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(start from 0, length) of the edits + 1 segments of a text; the last ones are longer by one if it doesn't divide."""
-    k = edits + 1
-    base, longer = F.floor(length / k).cast("int"), (length % k).cast("int")
-    out = []
-    for i in range(k):
-        extra = F.greatest(longer - (k - i), F.lit(0))
-        out.append((base * i + extra, base + F.when(longer >= k - i, 1).otherwise(0)))
-    return out
-
-
 def _piece(text: Column, start: Column, n: Column) -> Column:
     return F.substring(text, start * 4 + 1, n * 4)
 
@@ -44,14 +35,43 @@ def _size(text: str) -> Column:
     return F.shiftright(F.length(text), 2)
 
 
+def _entries(cases: list[tuple[int, int, int]], edits: int, only: Column | None, rest: bool, probe: bool) -> Column:
+    """One struct (sig, and gap of a probe, and rest) for each case (gap, segment, shift) that fits `s`.
+
+    The cases are a table that small expressions run over step by step: each value is computed once, and the JVM compiles
+    them, as it does not the large method that one expression per case would make.
+    """
+    k = edits + 1
+    table = F.array(*[F.struct(F.lit(g).alias("gap"), F.lit(i).alias("i"), F.lit(o).alias("off")) for g, i, o in cases])
+
+    def place(c: Column) -> Column:
+        base = F.get("_base", c["gap"])
+        late = F.get("_more", c["gap"]) + c["i"]  # of the longer segments, which come last, how many precede i
+        return F.struct(c["gap"].alias("gap"), c["i"].alias("i"), (base * c["i"] + F.greatest(late, F.lit(0)) + c["off"]).alias("start"),
+                        F.when(late >= 0, base + 1).otherwise(base).alias("w"))
+
+    def fits(c: Column) -> Column:
+        return (c["start"] >= 0) & (c["start"] + c["w"] <= F.col("_n")) & (F.col("_n") > c["gap"])
+
+    def entry(c: Column) -> Column:
+        n = F.col("_n") - c["gap"]
+        sig = F.xxhash64(F.col("key"), n, c["i"], _piece(F.col("s"), c["start"], c["w"])).alias("sig")
+        return F.struct(sig, (c["gap"] if probe else n).alias("gap" if probe else "n"), *[_without(F.col("s"), c["start"], c["w"]).alias("rest")] * rest)
+
+    at = F.filter(table, lambda c: c["gap"] == only) if only is not None else table
+    return F.transform(F.filter(F.transform(at, place), fits), entry)
+
+
+def _ready(level: DataFrame, edits: int) -> DataFrame:
+    """With the sizes that _entries() reads: of each gap the segments' length, and how many are longer, less their number."""
+    n, k = _size("s"), edits + 1
+    base = [F.call_function("div", n - g, F.lit(k)).cast("int") for g in range(k)]
+    return level.withColumns({"_n": n, "_base": F.array(*base), "_more": F.array(*[(n - g) - b * k - k for g, b in enumerate(base)])})
+
+
 def _indexed(edits: int, rest: bool) -> Column:
     """The index entries of `s`: one signature per segment, of the segment's place, the length of s and `key`."""
-    n = _size("s")
-    out = []
-    for i, (p, w) in enumerate(_spans(n, edits)):
-        parts = [F.xxhash64(F.col("key"), n, F.lit(i), _piece(F.col("s"), p, w)).alias("sig")]
-        out.append(F.struct(*parts, *[_without(F.col("s"), p, w).alias("rest")] * rest))
-    return F.array(*out)
+    return _entries([(0, i, 0) for i in range(edits + 1)], edits, None, rest, False)
 
 
 def _probed(edits: int, gaps: Column | None, rest: bool) -> Column:
@@ -60,25 +80,16 @@ def _probed(edits: int, gaps: Column | None, rest: bool) -> Column:
     With i segments before it holding at most i edits, and the others at most edits - i (Li et al. 2011), the start is within i
     of the segment's place, and within edits - i of that place moved by the gap. gaps: the one gap to probe, else all.
     """
-    out = []
-    for gap in range(edits + 1):
-        n = _size("s") - gap
-        for i, (p, w) in enumerate(_spans(n, edits)):
-            for off in range(max(-i, gap - (edits - i)), min(i, gap + (edits - i)) + 1):
-                start = p + off
-                ok = (n > 0) & (start >= 0) & (start + w <= _size("s"))
-                if gaps is not None:
-                    ok = ok & (gaps == gap)
-                parts = [F.when(ok, F.xxhash64(F.col("key"), n, F.lit(i), _piece(F.col("s"), start, w))).alias("sig"), F.lit(gap).alias("gap")]
-                out.append(F.struct(*parts, *[_without(F.col("s"), start, w).alias("rest")] * rest))
-    return F.array(*out)
+    cases = [(gap, i, off) for gap in range(edits + 1) for i in range(edits + 1)
+             for off in range(max(-i, gap - (edits - i)), min(i, gap + (edits - i)) + 1)]
+    return _entries(cases, edits, gaps, rest, True)
 
 
 def _met(index: DataFrame, probe: DataFrame, edits: int) -> DataFrame:
     """Pairs of ids that share a signature; of equal lengths each pair comes once. Where the rows carry what is left of
     their lines, the join itself holds that to the limit, so that it emits only true pairs.
     """
-    i = index.withColumnsRenamed({"id": "a", "rest": "_ra", "sig": "_s"})
+    i = index.drop("n").withColumnsRenamed({"id": "a", "rest": "_ra", "sig": "_s"})
     p = probe.withColumnsRenamed({"id": "b", "rest": "_rb"})
     on = (F.col("_s") == F.col("sig")) & (((F.col("gap") > 0) & (F.col("a") != F.col("b"))) | (F.col("a") < F.col("b")))
     if "_ra" in i.columns:
@@ -86,7 +97,7 @@ def _met(index: DataFrame, probe: DataFrame, edits: int) -> DataFrame:
     return i.join(p, on).select("a", "b")
 
 
-def candidates(lines: DataFrame, edits: int = EDITS, crowded: int = CROWDED) -> DataFrame:
+def candidates(lines: DataFrame, edits: int = EDITS, crowded: int = CROWDED, refined: int = REFINED) -> DataFrame:
     """Pairs (a, b) of ids of the distinct lines (id, line) that share a segment where edits allow; every pair within
     `edits` is among them.
 
@@ -97,11 +108,13 @@ def candidates(lines: DataFrame, edits: int = EDITS, crowded: int = CROWDED) ->
     """
     # UTF-32 gives every character four bytes, so that a substring is found without reading what is before it
     level = lines.select(F.lit(0).cast("long").alias("key"), "id", F.encode("line", "UTF-32").alias("s"))
-    index = level.select("id", F.inline(_indexed(edits, False)))
-    probe = level.select("id", F.inline(_probed(edits, None, False))).where("sig is not null")
+    level = _ready(level, edits)
+    index = stored(level.select("id", F.inline(_indexed(edits, False))))
+    probe = level.select("id", F.inline(_probed(edits, None, False)))
     found: DataFrame | None = None
     while True:
-        hot = cut(index.groupBy("sig").agg(F.count("*").alias("_n")).where(F.col("_n") > crowded).select("sig"))
+        hot = cut(index.groupBy("sig").agg(F.count("*").alias("_k"), F.min("n").alias("_n")).where(F.col("_k") > (refined if "rest" in index.columns else crowded)).select("sig", "_n"))
+        hot, sizes = hot.select("sig"), hot.select(F.explode(F.sequence(F.col("_n"), F.col("_n") + edits)).alias("_n")).distinct()
         some = hot.limit(1).count() > 0
         calm_i, calm_p = index, probe
         if some:
@@ -111,12 +124,14 @@ def candidates(lines: DataFrame, edits: int = EDITS, crowded: int = CROWDED) ->
         if not some:
             return found
         if "rest" not in index.columns:
-            who_i = joined_small(index, hot, "sig", "left_semi")
-            who_p = joined_small(probe, hot, "sig", "left_semi")
+            # only lines of the crowds' lengths can be among them
+            some_lines = joined_small(level, cut(sizes), "_n", "left_semi")
+            who_i = joined_small(some_lines.select("id", F.inline(_indexed(edits, False))), hot, "sig", "left_semi")
+            who_p = joined_small(some_lines.select("id", F.inline(_probed(edits, None, False))), hot, "sig", "left_semi")
             ids = cut(who_i.select("id").union(who_p.select("id")).distinct())
             text = cut(joined_small(level, ids, "id", "left_semi", IDS))
             index = joined_small(text.select("id", F.inline(_indexed(edits, True))), hot, "sig", "left_semi")
-            probe = joined_small(text.select("id", F.inline(_probed(edits, None, True))).where("sig is not null"), hot, "sig", "left_semi")
+            probe = joined_small(text.select("id", F.inline(_probed(edits, None, True))), hot, "sig", "left_semi")
         else:
             index, probe = (joined_small(x, hot, "sig", "left_semi") for x in (index, probe))
         index, probe = cut(index), cut(probe)
@@ -127,8 +142,8 @@ def candidates(lines: DataFrame, edits: int = EDITS, crowded: int = CROWDED) ->
         found = cut(found.union(stars))
         one = index.where(_size("rest") > edits).select("id", F.col("sig").alias("key"), F.col("rest").alias("s"))
         two = probe.where(_size("rest") > edits).select("id", F.col("sig").alias("key"), F.col("rest").alias("s"), F.col("gap").alias("_g"))
-        index = cut(one.select("id", F.inline(_indexed(edits, True))))
-        probe = cut(two.select("id", F.inline(_probed(edits, F.col("_g"), True))).where("sig is not null"))
+        index = cut(_ready(one, edits).select("id", F.inline(_indexed(edits, True))))
+        probe = cut(_ready(two, edits).select("id", F.inline(_probed(edits, F.col("_g"), True))))
 
 
 def _let(value: Column, use) -> Column:
