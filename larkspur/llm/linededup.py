@@ -125,7 +125,8 @@ def candidates(lines: DataFrame, edits: int = EDITS, crowded: int = CROWDED, ref
             return found
         if "rest" not in index.columns:
             # only lines of the crowds' lengths can be among them
-            some_lines = joined_small(level, cut(sizes), "_n", "left_semi")
+            some_lines = joined_small(lines.withColumn("_n", F.length("line")), cut(sizes), "_n", "left_semi").drop("_n")
+            some_lines = _ready(some_lines.select(F.lit(0).cast("long").alias("key"), "id", F.encode("line", "UTF-32").alias("s")), edits)
             who_i = joined_small(some_lines.select("id", F.inline(_indexed(edits, False))), hot, "sig", "left_semi")
             who_p = joined_small(some_lines.select("id", F.inline(_probed(edits, None, False))), hot, "sig", "left_semi")
             ids = cut(who_i.select("id").union(who_p.select("id")).distinct())
@@ -271,7 +272,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, i
     """The rows of `docs` with the repeated lines taken out of `text`; see dropped_lines(). Null texts stay null."""
     gone = cut(dropped_lines(docs, edits, least, id_col, text).withColumnsRenamed({"doc": "_doc", "th": "_th", "drop": "_drop"}))
     same = F.col(id_col).cast("decimal(20,0)").eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_th"))
-    at = joined_small(docs, gone, same, "left")
+    at = docs.join(gone, same, "left")  # by shuffle at every size: the lists have no bound
     left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_drop", i)), "\n")
     return at.select(*[F.when(F.col("_drop").isNull(), F.col(text)).otherwise(left).alias(c) if c == text else F.col(c) for c in docs.columns])
 
