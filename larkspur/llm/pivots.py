@@ -119,9 +119,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS,
         who = np.repeat(np.arange(len(b)), [len(x) for x in picks])
         which = np.concatenate(picks).astype(int) if picks else np.zeros(0, dtype=int)
         cell = np.array(cells, dtype=np.int32)[which]
-        return pd.DataFrame({"query_id": b["id"].to_numpy()[who], "q": [b["v"].iloc[i] for i in who], "cell": cell})
+        bar = b["bar"].to_numpy(dtype=float) if "bar" in b else np.full(len(b), np.nan)
+        return pd.DataFrame({"query_id": b["id"].to_numpy()[who], "q": [b["v"].iloc[i] for i in who], "bar": np.nan_to_num(bar[who], nan=-np.inf), "cell": cell})
 
-    opening = "query_id long, q array<double>, cell int"
+    opening = "query_id long, q array<double>, bar double, cell int"
 
     def scored(rows_: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
@@ -132,8 +133,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS,
             for at_ in range(0, len(asked), 512):
                 some = asked.iloc[at_:at_ + 512]
                 s = _stack(some["q"], width) @ x.T
-                for qid, line in zip(some["query_id"], s):
-                    mine = np.flatnonzero(ids != qid)
+                for qid, bar, line in zip(some["query_id"], some["bar"], s):
+                    mine = np.flatnonzero((ids != qid) & (line >= bar))  # below the k-th score so far nothing counts
                     mine = mine[np.argsort(-line[mine], kind="stable")[:k]]
                     out["query_id"] += [qid] * len(mine)
                     out["vec_id"] += ids[mine].tolist()
