@@ -149,21 +149,27 @@ def _phi(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def moves(left: np.ndarray, right: np.ndarray, own: np.ndarray, n: np.ndarray, table: np.ndarray, free: int) -> np.ndarray:
+def moves(left: np.ndarray, right: np.ndarray, twice: np.ndarray, own: np.ndarray, n: np.ndarray, table: np.ndarray, free: int) -> np.ndarray:
     """The class of greatest likelihood for each word, all others staying.
 
-    left[w, c]: tokens of class c before w; right[w, c]: after it; own: its class. A word is taken out of its class's row and
-    column, and the change of sum of phi(N[c, d]) - 2 sum of phi(N[c]) is formed for every class it might enter.
+    left[w, c]: tokens of class c before w; right[w, c]: after it; twice: how often w follows itself; own: its class. A word is
+    taken out of its class's row and column, and the change of sum of phi(N[c, d]) - 2 sum of phi(N[c]) is formed for
+    every class it might enter.
     """
-    best = own.copy()
+    best, at = own.copy(), np.arange(free)
     for w in range(len(own)):
         t, a = table.copy(), own[w]
-        t[a] -= right[w]
-        t[:, a] -= left[w]
-        t = np.maximum(t, 0)
+        after, before = right[w].copy(), left[w].copy()
+        after[a] -= twice[w]
+        before[a] -= twice[w]
+        t[a] -= after
+        t[:, a] -= before
+        t[a, a] -= twice[w]
         size = t.sum(1)
         rows, cols = t[:free], t[:, :free].T
-        gain = (_phi(rows + right[w]) - _phi(rows)).sum(1) + (_phi(cols + left[w]) - _phi(cols)).sum(1)
+        row, col = _phi(rows + after) - _phi(rows), _phi(cols + before) - _phi(cols)
+        same = t[at, at]
+        gain = row.sum(1) + col.sum(1) - row[at, at] - col[at, at] + _phi(same + after[:free] + before[:free] + twice[w]) - _phi(same)
         gain -= 2 * (_phi(size[:free] + n[w]) - _phi(size[:free]))
         best[w] = int(gain.argmax()) if gain.max() > gain[a] + 1e-9 else a
     return best
@@ -192,7 +198,8 @@ def exchange(pairs: DataFrame, symbols: Symbols, rounds: int = ROUNDS, wanted: i
             t = np.bincount((at * 2 + side) * total + classes[o], n, len(ids) * 2 * total).reshape(len(ids), 2, total)
             mine = ids % 2 == turn % 2
             t = t[mine]
-            best = moves(t[:, 0], t[:, 1], classes[ids[mine]], t[:, 1].sum(1), table, free)
+            twice = np.bincount(at, n * ((w == o) & (side == 1)), len(ids))[mine]
+            best = moves(t[:, 0], t[:, 1], twice, classes[ids[mine]], t[:, 1].sum(1), table, free)
             yield pa.RecordBatch.from_arrays([pa.array(ids[mine].astype(np.int64)), pa.array(best)], ["w", "c"])
 
         classes = classes.copy()

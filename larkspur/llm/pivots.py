@@ -120,7 +120,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS,
         which = np.concatenate(picks).astype(int) if picks else np.zeros(0, dtype=int)
         cell = np.array(cells, dtype=np.int32)[which]
         bar = b["bar"].to_numpy(dtype=float) if "bar" in b else np.full(len(b), np.nan)
-        return pd.DataFrame({"query_id": b["id"].to_numpy()[who], "q": [b["v"].iloc[i] for i in who], "bar": np.nan_to_num(bar[who], nan=-np.inf), "cell": cell})
+        return pd.DataFrame({"query_id": b["id"].to_numpy()[who], "q": pd.Series([b["v"].iloc[i] for i in who], dtype=object), "bar": np.nan_to_num(bar[who], nan=-np.inf), "cell": cell})
 
     opening = "query_id long, q array<double>, bar double, cell int"
 
