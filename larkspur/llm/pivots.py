@@ -161,9 +161,9 @@ def op4_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH x AS (SELECT vec_id, list_transform(embedding, c -> floor(1024 * c::DOUBLE)) AS v FROM embeddings
+WITH x AS (SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-             AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+             AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
 s AS (SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.v, x.v)::BIGINT AS score
       FROM x AS q JOIN x ON q.vec_id <> x.vec_id WHERE q.vec_id % 100 = 0),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
