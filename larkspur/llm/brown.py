@@ -219,8 +219,8 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "
     """Every row with id, n_tokens, n_known, train_tokens, base_score and score (log10), learnt from the rows where `train`.
 
     The model's probability of a token is P(its class | class before) * P(token | class). A head word's class was found by
-    exchange; other words have their shape's class, in which the share of words seen once is kept for unknown words.
-    An end is a class of its own and also stands before the first word. Null and empty texts are one end. Rows that
+    exchange; other words have their shape's class, in which the share of words seen once is kept for unknown words,
+    of which there are taken to be as many kinds, and one more. An end is a class of its own and also stands before the first word. Null and empty texts are one end. Rows that
     repeat are scored alike. Without training rows all counts are 0 and classes are equally likely.
     """
     spark = docs.sparkSession
@@ -279,7 +279,7 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "
     rest = got.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("k"))
     c = F.coalesce(F.col("n"), F.lit(0))
     per_shape = F.lit([float(x) for x in np.log10(1 - kept) - np.log10(mass[free + 1:])]).cast("array<double>")
-    unknown = F.lit([float(x) for x in np.log10(kept)]).cast("array<double>")
+    unknown = F.lit([float(x) for x in np.log10(kept / (once + 1.0))]).cast("array<double>")
     s = (shape_of(F.col("word")) + 1).cast("int")
     rest = rest.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("_known"),
