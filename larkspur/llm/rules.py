@@ -142,3 +142,32 @@ def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged(docs).where("kept").select(*docs.columns)
+
+
+_STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
+SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+u AS (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+v AS (SELECT rid, i, x || ' ' || lead(x, 1) OVER p || ' ' || lead(x, 2) OVER p || ' ' || lead(x, 3) OVER p || ' ' || lead(x, 4) OVER p AS five
+      FROM u WINDOW p AS (PARTITION BY rid ORDER BY i)),
+h AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, five) AS c FROM v WHERE five IS NOT NULL),
+r AS (SELECT rid, count(DISTINCT i + k) AS n FROM h, range(5) AS t(k) WHERE c > 1 GROUP BY rid),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+             len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
+             (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+             len(list_filter(w, lambda x: lower(x) IN ({_STOPS}))) AS n_stop_words, length(t) - length(replace(t, '!', '')) AS n_bangs
+      FROM w LEFT JOIN r USING (rid)),
+j AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_words < 10 AS fails_length,
+             n_words = 0 OR word_chars / n_words < 2 OR word_chars / n_words > 15 AS fails_word_length,
+             n_words > 0 AND n_symbols / n_words > 0.25 AS fails_symbols,
+             n_words >= 30 AND n_stop_words / n_words < 0.04 AS fails_stop_words,
+             n_lines > 0 AND n_dup_lines / n_lines > 0.4 AS fails_line_copies,
+             n_words >= 30 AND n_words / n_lines < 1.5 AS fails_line_words,
+             n_words > 0 AND n_bangs / n_words > 0.5 AS fails_shouting FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR fails_length OR fails_word_length OR fails_symbols OR fails_stop_words OR fails_line_copies OR fails_line_words OR fails_shouting) AS kept,
+       fails_length, fails_word_length, fails_symbols, fails_stop_words, fails_line_copies, fails_line_words, fails_shouting
+FROM j
+"""
