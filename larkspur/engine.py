@@ -216,9 +216,14 @@ class Engine:
             self._add(t, self.spark.createDataFrame(numbered, spark_schema(t.schema, rid=True)), len(numbered))
         return range(t.next_rid, t.next_rid + len(numbered))
 
-    def load(self, name: str, df: DataFrame) -> int:
-        """Adds a DataFrame of the table's columns, without taking rows to the driver; returns how many."""
+    def load(self, name: str, df: DataFrame, batch: tuple[str, int] | None = None) -> int:
+        """Adds a DataFrame of the table's columns, without taking rows to the driver; returns how many.
+
+        batch: (stream, number) of a micro-batch. The commit keeps it with the rows; one that comes again adds nothing.
+        """
         t = self._managed(name)
+        if batch is not None and batch[1] <= t.streams.get(batch[0], -1):
+            return 0
         want = spark_schema(t.schema)
         df = df.select(*[F.col(c.name).cast(f.dataType).alias(c.name) for c, f in zip(t.schema, want.fields)])
         bad = [c.name for c in t.schema if not c.nullable]
@@ -236,12 +241,12 @@ class Engine:
             place = F.element_at(F.lit(starts or [0]).cast("array<bigint>"), (F.shiftright(RID, 33) + 1).cast("int"))
             total = n - t.next_rid
             if total:
-                self._add(t, at.withColumn(RID, place + F.col(RID).bitwiseAND(F.lit((1 << 33) - 1))), total)
+                self._add(t, at.withColumn(RID, place + F.col(RID).bitwiseAND(F.lit((1 << 33) - 1))), total, batch)
             return total
         finally:
             self.folder.delete(staged)
 
-    def _add(self, t: TableEntry, rows: DataFrame, n: int) -> None:
+    def _add(self, t: TableEntry, rows: DataFrame, n: int, batch: tuple[str, int] | None = None) -> None:
         changed = self.catalog.copied()
         tag, made = uuid.uuid4().hex, []
         entry = changed.table(t.name)
@@ -255,6 +260,8 @@ class Engine:
                     made.append(self._write_index(i.name, i.column, rows, tag))
                     i.batches.append(made[-1])
             entry.next_rid += n
+            if batch is not None:
+                entry.streams[batch[0]] = batch[1]
             self._commit(changed)
         except BaseException:
             for m in made:

@@ -182,6 +182,8 @@ OTHERS = {
 
 _LESS = "FROM orders WHERE o_orderkey <> (SELECT min(o_orderkey) FROM orders)"
 _OTHER_SQL = {
+    "catalog_tables": f"""SELECT table_name AS name, count(*)::INT AS n_columns FROM information_schema.columns WHERE table_name IN {TABLES}
+                          GROUP BY table_name UNION ALL SELECT 'flags', 5""",
     "fluent_pipeline": "SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey DESC LIMIT 20",
     "rows_source": "SELECT * FROM (VALUES (3::BIGINT, 'a'), (2::BIGINT, 'b')) AS t(id, name)",
     "lookup_index": "SELECT event_id, user_id FROM events WHERE user_id = 7",

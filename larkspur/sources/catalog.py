@@ -26,6 +26,8 @@ class TableEntry:
     next_rid: int = 0
     #: Set for registered Parquet files, which are never written.
     path: str | None = None
+    #: The last micro-batch of each stream that was loaded, so that one that comes again is known.
+    streams: dict[str, int] = field(default_factory=dict)
 
 
 @dataclass
@@ -118,6 +120,7 @@ class Catalog:
                 schema = tuple(Column(n, DataType(k), bool(z)) for n, k, z in t["schema"])
                 entry = out.add_table(t["name"], schema, t["version"], t["path"])
                 entry.batches, entry.gone, entry.n_gone, entry.next_rid = list(t["batches"]), list(t["gone"]), int(t["n_gone"]), int(t["next_rid"])
+                entry.streams = {str(k): int(v) for k, v in t.get("streams", {}).items()}
             for i in raw["indexes"]:
                 out.register_index(i["name"], i["table"], i["column"], list(i["batches"])).stored = bool(i["stored"])
         except (ValueError, KeyError, TypeError, AttributeError) as e:
