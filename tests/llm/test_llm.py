@@ -289,3 +289,45 @@ def test_pipeline(docs, spark, tmp_path):
     assert kept[0] >= 20 and len({r["doc_id"] for r in at.collect()}) <= kept[2] <= kept[1] <= kept[0]
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert len(out) == kept[3] and all(r["padding"] >= 0 for r in out)
+
+
+def test_unknown_words_score_below_known_ones(spark):
+    rng = np.random.default_rng(6)
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    rows = [(i, " ".join(rng.choice(words, 30)), "en", "s", 0, 0, 0, 0) for i in range(60)]
+    rows += [(100, " ".join(words[:30]), "en", "s", 0, 0, 0, 0), (101, " ".join(f"qu{chr(97 + i % 26)}zz" for i in range(30)), "en", "s", 0, 0, 0, 0)]
+    got = {r["doc_id"]: r for r in brown.scored(spark.createDataFrame(rows, DOCS), F.col("doc_id") < 60).collect()}
+    assert got[101]["n_known"] == 1 and got[100]["n_known"] == 31 and got[101]["score"] < got[100]["score"] and got[101]["base_score"] < got[100]["base_score"]
+
+
+def rounded(rows):
+    return Counter(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in rows)
+
+
+@pytest.mark.parametrize("name", ["op4_pivots", "op5_rules", "op7_licenses"])
+def test_queries_match_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    from larkspur.llm.queries import ORACLE_SQL, QUERIES
+
+    d, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    df, cur = QUERIES[name](spark, d), con.execute(ORACLE_SQL[name])
+    names = [x[0] for x in cur.description]
+    assert sorted(names) == sorted(df.columns)
+    assert rounded(df.select(*names).collect()) == rounded(cur.fetchall())
+
+
+@pytest.mark.parametrize("name", ["op5_rules", "op7_licenses"])
+def test_queries_match_sql_on_odd_rows(spark, docs, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    from larkspur.llm.queries import ORACLE_SQL, QUERIES
+
+    more = [(50, "Released under the MIT License.", "en", "src0", 0, 0, 0, 0), (51, "Released under the MIT License.", "en", "src0", 0, 0, 0, 0),
+            (52, "All rights reserved, said the owner of the licence to drive\nAll rights reserved.", None, None, 0, 0, 0, 0)]
+    docs.union(spark.createDataFrame(more, DOCS)).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df, cur = QUERIES[name](spark, str(tmp_path)), con.execute(ORACLE_SQL[name])
+    names = [x[0] for x in cur.description]
+    assert rounded(df.select(*names).collect()) == rounded(cur.fetchall())
