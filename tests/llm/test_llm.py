@@ -331,3 +331,40 @@ def test_queries_match_sql_on_odd_rows(spark, docs, tmp_path, name):
     df, cur = QUERIES[name](spark, str(tmp_path)), con.execute(ORACLE_SQL[name])
     names = [x[0] for x in cur.description]
     assert rounded(df.select(*names).collect()) == rounded(cur.fetchall())
+
+
+def test_score_against_plain_model(spark, monkeypatch):
+    """Head words, known words beyond the head, words beyond those sent to executors, and unknown ones, by the classes that exchange found."""
+    monkeypatch.setattr(brown, "HEAD", 12)
+    monkeypatch.setattr(brown, "KNOWN", 30)
+    seen, exchange = {}, brown.exchange
+    monkeypatch.setattr(brown, "exchange", lambda pairs, symbols: seen.update(symbols=symbols, out=exchange(pairs, symbols, 3, 4)) or seen["out"])
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" + ["", ".", ",", "é", "longlonglong"][i % 5] for i in range(120)]
+    texts = [" ".join(rng.choice(words, 20, p=(p := 1 / np.arange(1, 121)) / p.sum())) for _ in range(50)] + ["", None, "never seen, words. are here"]
+    df = spark.createDataFrame([(i, t, "en", "s", 0, 0, 0, 0) for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r["score"] for r in brown.scored(df, F.col("doc_id") % 3 != 1).collect()}
+    (classes, table), head = seen["out"], list(seen["symbols"].place)[: seen["symbols"].head]
+    count = Counter(w for i, t in enumerate(texts) if i % 3 != 1 for w in brown.split(t))
+    assert 0 < len(head) < len(seen["symbols"].place) < len(count)
+
+    def line(t):
+        return [int(classes[0 if w is None else 1 + brown.SHAPES + head.index(w) if w in head else 1 + brown.shape(w)]) for w in [None, *brown.split(t), None]]
+
+    plain = np.zeros_like(table)
+    for i, t in enumerate(texts):
+        if i % 3 != 1:
+            for a, b in zip(line(t), line(t)[1:]):
+                plain[a, b] += 1
+    assert (plain == table).all()
+    share, mass = (table.sum(0) + 1) / (table.sum(0) + 1).sum(), np.maximum(table.sum(0), 1)
+    once = Counter(brown.shape(w) for w, n in count.items() if n == 1 and w not in head)
+    for i, t in enumerate(texts):
+        c, want = line(t), 0.0
+        for a, b in zip(c, c[1:]):
+            want += np.log10((table[a, b] + 10 * share[b]) / (table[a].sum() + 10))
+        for w, b in zip(brown.split(t), c[1:]):
+            k = once[brown.shape(w)]
+            kept = (k + 1) / (mass[b] + 2)
+            want += np.log10(count[w] / mass[b] if w in head else count[w] / mass[b] * (1 - kept) if w in count else kept / (k + 1))
+        assert got[i] == pytest.approx(want, abs=1e-9)
