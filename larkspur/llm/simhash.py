@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, cut, joined_small
+from .jaccard import near_copies
 
 #: Shingles hashed at a time, so that one very long text needs no more memory than this.
 _BLOCK = 1 << 15
@@ -135,8 +136,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id. Rows that repeat it whole stay once."""
-    found = near_duplicates(docs.select("doc_id", "text"), width=5, bits=2)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    """One document of each group of near copies stays: the one with the smallest id. Rows that repeat it whole stay once.
+
+    Groups are components under Jaccard similarity of 0.8 or more on 5-word shingles; see near_copies().
+    """
+    at = docs.select("doc_id", F.xxhash64("text").alias("th"))
+    at = cut(joined_small(at, near_copies(docs), "th").select("doc_id", "root"))
+    least = at.groupBy("root").agg(F.min("doc_id").alias("least"))
+    gone = cut(at.join(least, "root").where("doc_id <> least").select("doc_id").distinct())
     kept = docs.join(gone, "doc_id", "left_anti")
     return kept.dropDuplicates(["doc_id"])

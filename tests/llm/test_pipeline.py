@@ -194,3 +194,35 @@ def test_run_is_the_stages(spark, steps):
 def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def alike(a, b):
+    x, y = ({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in (a, b)))
+    return 9 * len(x & y) >= 4 * (len(x) + len(y))
+
+
+def planted():
+    """Texts of 120 words, and copies of them with 1 to 8 words changed or words added: similarities from about 0.6 to 0.97."""
+    rng, out = random.Random(8), []
+    for _ in range(12):
+        base = [f"w{rng.randrange(9999)}" for _ in range(120)]
+        out.append(" ".join(base))
+        for n in range(1, 9):
+            w = list(base)
+            for at in rng.sample(range(120), n):
+                w[at] = f"c{rng.randrange(9999)}"
+            out.append(" ".join(w + ["tail"] * (n % 2)))
+    return out
+
+
+@pytest.mark.parametrize("crowded", [24, 2])
+def test_near_copies_from_four_fifths(spark, monkeypatch, crowded):
+    from larkspur.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "CROWDED", crowded)
+    texts = planted()
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    root = classes(texts, alike)
+    got = dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, spark.createDataFrame(rows, DOCS), "")
+    kept = sorted(r["doc_id"] for r in got.collect())
+    assert kept == [i for i, k in enumerate(root) if i == k] and 12 < len(kept) < 100
