@@ -136,13 +136,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id. Rows that repeat it whole stay once.
+    """One row of each group of near copies stays: the one with the smallest id, a null id coming last, then by a hash of
+    the row. Rows that repeat it whole stay once. Ids need not be unique: rows are known by a hash of all their columns.
 
     Groups are components under Jaccard similarity of 0.8 or more on 5-word shingles; see near_copies().
     """
-    at = docs.select("doc_id", F.xxhash64("text").alias("th"))
-    at = cut(joined_small(at, near_copies(docs), "th").select("doc_id", "root"))
-    least = at.groupBy("root").agg(F.min("doc_id").alias("least"))
-    gone = cut(at.join(least, "root").where("doc_id <> least").select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.dropDuplicates(["doc_id"])
+    row = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])  # the flags, since a hash passes nulls over
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("least")
+    keyed = docs.withColumn("_row", row)
+    at = cut(keyed.select("doc_id", "_row", F.xxhash64("text").alias("th")).groupBy("th").agg(least))
+    at = joined_small(at, near_copies(docs), "th").select("root", F.col("least.doc_id").alias("doc_id"), F.col("least._row").alias("_row"))
+    kept = cut(at.groupBy("root").agg(least).select(F.col("least._row").alias("_row")))
+    return joined_small(keyed, kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")

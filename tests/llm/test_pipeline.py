@@ -226,3 +226,11 @@ def test_near_copies_from_four_fifths(spark, monkeypatch, crowded):
     got = dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, spark.createDataFrame(rows, DOCS), "")
     kept = sorted(r["doc_id"] for r in got.collect())
     assert kept == [i for i, k in enumerate(root) if i == k] and 12 < len(kept) < 100
+
+
+def test_copies_stage_with_null_and_shared_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (3, c), (7, d), (None, d)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    got = dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, docs, "")
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter([(None, a), (None, b), (3, c), (5, d)])
