@@ -9,7 +9,7 @@ from .common import components, cut, joined_small, stored, trimmed
 
 #: Edits up to which two lines are one.
 EDITS = 2
-#: Lines of fewer characters take no part and always stay.
+#: Lines of fewer characters take no part in the edit join; the query and the pipeline take them as one only if they are equal.
 LEAST_CHARS = 24
 #: Rows of a segment index entry above which it is refined before its pairs are made.
 CROWDED = 24
@@ -244,19 +244,21 @@ def _lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                        F.posexplode(F.split(text, "\n")).alias("no", "line"))
 
 
-def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text: str = "text",
+                  short: bool = False) -> DataFrame:
     """(doc, th, drop): for each document with lines to drop, their places from 0; th is xxhash64 of its text.
 
-    Lines of at least `least` characters form classes: components under links of at most `edits` edits. Of each class
-    the line stays that comes first by (id, place); all others go. Shorter lines stay. Ids are whole numbers; rows
+    Lines of at least `least` characters form classes: components under links of at most `edits` edits. Shorter lines are
+    a class with their exact copies if `short`, else stay; those of blanks alone always stay. Of each class the line stays
+    that comes first by (id, place); all others go. Ids are whole numbers; rows
     without one count as the first. Lines are known by their 64-bit hash. Rows that repeat id and text share a
     decision. Null texts have no lines.
     """
-    long = _lines(docs, id_col, text).where(F.length("line") >= least)
-    long = long.withColumn("id", F.xxhash64("line"))
+    every = _lines(docs, id_col, text).where((F.length("line") >= least) | (F.lit(short) & (trimmed("line") != "")))
+    every = every.withColumn("id", F.xxhash64("line"))
     spot = F.coalesce("doc", F.lit("-1" + "0" * 19).cast("decimal(20,0)")).cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(12,0)") + F.col("no")
-    spots = stored(long.select("doc", "th", "no", "id", spot.cast("decimal(38,0)").alias("spot")))
-    lines = stored(long.groupBy("id").agg(F.first("line").alias("line")))
+    spots = stored(every.select("doc", "th", "no", "id", spot.cast("decimal(38,0)").alias("spot")))
+    lines = stored(every.where(F.length("line") >= least).groupBy("id").agg(F.first("line").alias("line")))
     firsts = spots.groupBy("id").agg(F.min("spot").alias("first"), F.count("*").alias("n"))
     edges = cut(_measured(candidates(lines, edits), lines, edits))
     roots = cut(components(edges))
@@ -268,9 +270,10 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS,
     return gone.groupBy("doc", "th").agg(F.collect_set("no").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text: str = "text",
+                short: bool = False) -> DataFrame:
     """The rows of `docs` with the repeated lines taken out of `text`; see dropped_lines(). Null texts stay null."""
-    gone = cut(dropped_lines(docs, edits, least, id_col, text).withColumnsRenamed({"doc": "_doc", "th": "_th", "drop": "_drop"}))
+    gone = cut(dropped_lines(docs, edits, least, id_col, text, short).withColumnsRenamed({"doc": "_doc", "th": "_th", "drop": "_drop"}))
     same = F.col(id_col).cast("decimal(20,0)").eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_th"))
     at = docs.join(gone, same, "left")  # by shuffle at every size: the lists have no bound
     left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_drop", i)), "\n")
@@ -280,7 +283,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, i
 def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_lines, n_kept, dropped) for every document; dropped lists the places of its lines that go."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    gone = cut(dropped_lines(docs))
+    gone = cut(dropped_lines(docs, short=True))
     n = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
     all_docs = docs.select("doc_id", F.xxhash64("text").alias("th"), n.alias("n_lines"))
     same = (all_docs["doc_id"].cast("decimal(20,0)").eqNullSafe(gone["doc"])) & (all_docs["th"] == gone["th"])
@@ -291,4 +294,4 @@ def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_linededup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without their repeated lines; a document all of whose lines go is left out."""
-    return dedup_lines(docs).where(trimmed("text") != "")
+    return dedup_lines(docs, short=True).where(trimmed("text") != "")

@@ -368,3 +368,12 @@ def test_score_against_plain_model(spark, monkeypatch):
             kept = (k + 1) / (mass[b] + 2)
             want += np.log10(count[w] / mass[b] if w in head else count[w] / mass[b] * (1 - kept) if w in count else kept / (k + 1))
         assert got[i] == pytest.approx(want, abs=1e-9)
+
+
+def test_short_lines_go_by_equality(spark, tmp_path):
+    texts = ["menu\nhome page\n\none long line that stands alone here", "home page\nhome pages\n\n \nmenu\n \nother", "menu"]
+    df = spark.createDataFrame([(i, t, "en", "s", 0, 0, 0, 0) for i, t in enumerate(texts)], DOCS)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["dropped"] for r in linededup.op9_linededup(spark, str(tmp_path)).collect()}
+    assert got == {0: [], 1: [0, 4], 2: [0]}
+    assert {r["doc_id"]: r["text"] for r in linededup.stage_linededup(spark, df, "").collect()} == {0: texts[0], 1: "home pages\n\n \n \nother"}
