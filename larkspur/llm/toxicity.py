@@ -24,6 +24,9 @@ FEATURES = ("insults", "insults_n", "learned", "learned_n", "starts", "starts_n"
             "questions", "punctuation", "digits", "obfuscated", "repeats", "n_words")
 
 _OBFUSCATED = re.compile(r"(?:[^\W\d_][*@$!0-9.\-]{1,3})+[^\W\d_]", re.UNICODE)
+#: What _OBFUSCATED needs, and the signs in it.
+_SIGNS = re.compile(r"[^\W\d_][*@$!0-9.\-]{1,3}[^\W\d_]", re.UNICODE)
+_MARKS = re.compile(r"[*@$!0-9.\-]")
 _LEET = str.maketrans("01345@$!7", "oleasasit")
 _STRIP = ".,;:!?\"'()[]{}*#$%&|<>-_"
 
@@ -32,6 +35,18 @@ def tokens(text: str) -> list[str]:
     return [w.strip(_STRIP) for w in text.lower().split()]
 
 
+def _unmasked(word: str) -> bool:
+    """Whether a word is an insult once its signs are read as letters, taken out, or stand for one letter each."""
+    bare = word.strip(_STRIP)
+    if bare in _INSULTS:
+        return False
+    read = (word.translate(_LEET).strip(_STRIP), bare.translate(_LEET), _MARKS.sub("", bare), _MARKS.sub("", bare.translate(_LEET)))
+    if any(x in _INSULTS for x in read):
+        return True
+    hidden = re.compile("".join("[^\\W\\d_]" if _MARKS.match(ch) else re.escape(ch) for ch in bare))
+    return any(hidden.fullmatch(x) for x in _INSULTS)
+
+
 def features(text: str | None, learned: frozenset, starts: frozenset) -> list[float]:
     """One value per FEATURES: densities are per word or per character; null and empty texts give zeros."""
     text = text or ""
@@ -44,8 +59,8 @@ def features(text: str | None, learned: frozenset, starts: frozenset) -> list[fl
     if you and (a or b or c):
         hits = found[0] | found[1] | found[2]
         near = sum(any(x in _SECOND for x in w[max(0, i - 3):i + 4]) for i, y in enumerate(w) if y in hits)
-    odd = _OBFUSCATED.findall(text) if any(ch in text for ch in "*@$0134") else []
-    masked = sum(m.lower().translate(_LEET) in _INSULTS for m in odd)
+    odd = _OBFUSCATED.findall(text) if _SIGNS.search(text) else []
+    masked = sum(_unmasked(x) for x in text.lower().split() if _OBFUSCATED.search(x)) if odd else 0
 
     def share(kept: bytes) -> float:
         return (len(raw) - len(raw.translate(None, kept))) / chars

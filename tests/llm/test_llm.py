@@ -377,3 +377,10 @@ def test_short_lines_go_by_equality(spark, tmp_path):
     got = {r["doc_id"]: r["dropped"] for r in linededup.op9_linededup(spark, str(tmp_path)).collect()}
     assert got == {0: [], 1: [0, 4], 2: [0]}
     assert {r["doc_id"]: r["text"] for r in linededup.stage_linededup(spark, df, "").collect()} == {0: texts[0], 1: "home pages\n\n \n \nother"}
+
+
+@pytest.mark.parametrize("text", ["what a m.o.r.o.n here", "a l-o-s-e-r, yes", "so st*pid of it", "it is tr4sh!", "5tup1d it is"])
+def test_masked_insults_count(text):
+    at = toxicity.FEATURES.index("obfuscated")
+    assert toxicity.features(text, frozenset(), frozenset())[at] >= 1
+    assert toxicity.features("a well-known town, e.g. here", frozenset(), frozenset())[at] < 1
