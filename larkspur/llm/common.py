@@ -103,6 +103,27 @@ def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "rank") -
     return at.withColumn(name, rank).drop(spot), total
 
 
+def running(df: DataFrame, order: Sequence[Column | str], sums: dict[str, Column]) -> DataFrame:
+    """The rows with, for each name of `sums`, the sum of its whole numbers over all rows before in `order`.
+
+    As with numbered(), only one row per range partition reaches the driver, and no task sees all rows.
+    """
+    at = df.withColumns({f"_v{i}": c for i, c in enumerate(sums.values())})
+    at = cut(at.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_spot", F.monotonically_increasing_id())
+    at = at.withColumn("_p", F.shiftright(F.col("_spot"), 33).cast("int"))
+    held = {r["_p"]: r for r in at.groupBy("_p").agg(*[F.sum(f"_v{i}").alias(f"s{i}") for i in range(len(sums))]).collect()}
+    here = Window.partitionBy("_p").orderBy("_spot").rowsBetween(Window.unboundedPreceding, -1)
+    out = {}
+    for i, name in enumerate(sums):
+        starts, total = [], 0
+        for p in range(max(held, default=-1) + 1):
+            starts.append(total)
+            total += held[p][f"s{i}"] if p in held else 0
+        before = F.element_at(F.lit(starts or [0]).cast("array<bigint>"), F.col("_p") + 1)
+        out[name] = before + F.coalesce(F.sum(f"_v{i}").over(here), F.lit(0))
+    return at.withColumns(out).drop("_spot", "_p", *[f"_v{i}" for i in range(len(sums))])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b); root is the smallest node of the component.
 
