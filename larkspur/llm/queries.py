@@ -17,4 +17,5 @@ QUERIES = {
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_pivots": pivots.SQL, "op5_rules": rules.SQL, "op7_licenses": licenses.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_packing": packing.SQL, "op3_sharding": sharding.SQL, "op4_pivots": pivots.SQL, "op5_rules": rules.SQL,
+                              "op7_licenses": licenses.SQL}

@@ -68,15 +68,12 @@ def _repeats(w: Column, h: Column) -> Column:
         lambda a: a["n"]))
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Every row with the counts that the rules read: n_words, word_chars, n_symbols, n_lines, n_dup_lines,
-    n_repeat_words, n_stop_words, n_bangs (long). A null or empty text has all counts 0. Names that clash with
-    columns of `docs` replace them.
-    """
-    names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_bangs"]
-    keep = [c for c in docs.columns if c not in names]
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = docs.select(F.struct(*keep).alias("_row"), t.alias("_t"))
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_bangs")
+
+
+def _measured(docs: DataFrame, text: str) -> DataFrame:
+    """(_row, then the counts): _row is the row as it came, so that no name of its columns can clash."""
+    df = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     df = _one(df, _w=words("_t"), _l=F.filter(F.split("_t", "\n"), lambda x: trimmed(x) != ""))
     five = F.transform(F.when(F.size("_w") > 4, F.sequence(F.lit(0), F.size("_w") - 5)).otherwise(F.array().cast("array<int>")),
                        lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(5)]))
@@ -95,8 +92,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_stop_words": F.size(F.filter("_w", lambda x: F.lower(x).isin(*STOP_WORDS))),
         "n_bangs": F.length("_t") - gone("!"),
     }
-    df = _one(df, **{k: c.cast("long") for k, c in out.items()})
-    return df.select("_row.*", *names)
+    return _one(df, **{k: c.cast("long") for k, c in out.items()}).select("_row", *_COUNTS)
 
 
 def base_failed() -> Column:
@@ -119,21 +115,29 @@ def compiled(rules=RULES) -> list[Column]:
     return out
 
 
-def judged(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
-    """measured() with `base_failed`, one `fails_<rule>` per rule, and `kept`.
-
-    Null and empty texts fail the length rule. Repeated rows are judged alike. No row is added or lost.
-    """
-    df = measured(docs, text)
+def _judged(docs: DataFrame, rules, text: str) -> DataFrame:
+    """(_row, counts, base_failed, fails_<rule>, kept)."""
     broken = compiled(rules)
-    df = df.select("*", base_failed().alias("base_failed"), *broken)
     any_broken = F.lit(False)
     for r in rules:
         any_broken = any_broken | F.col(f"fails_{r.name}")
-    return df.withColumn("kept", ~F.col("base_failed") & ~any_broken)
+    return _measured(docs, text).select("*", base_failed().alias("base_failed"), *broken).withColumn("kept", ~F.col("base_failed") & ~any_broken)
+
+
+def judged(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
+    """Every row with the counts that rules read (n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stop_words,
+    n_bangs; long), `base_failed`, one `fails_<rule>` per rule, and `kept`.
+
+    A null or empty text has all counts 0 and fails the length rule. Repeated rows are judged alike. No row is added or
+    lost, and very long texts are read whole. A column of `docs` by one of these names gives way to the result.
+    """
+    df = _judged(docs, rules, text)
+    names = df.columns[1:]
+    return df.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in names], *names)
 
 
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, one row each, with the base counts, each rule's finding and the verdict; see judged()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     fails = [f"fails_{r.name}" for r in RULES]
     return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -141,7 +145,10 @@ def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return judged(docs).where("kept").select(*docs.columns)
+    """The rows that judged() keeps, as they came: all columns, whatever their names, and repeated rows each. Null and
+    empty texts go. An empty table stays empty.
+    """
+    return _judged(docs, RULES, "text").where("kept").select("_row.*")
 
 
 _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)

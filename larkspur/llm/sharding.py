@@ -1,4 +1,4 @@
-"""Shards along a Hilbert curve over metadata, cut into runs of equal row counts."""
+"""Shards along a Hilbert curve over metadata, cut into runs of equal row counts, and the bounds by which readers pass shards over."""
 
 from __future__ import annotations
 
@@ -6,9 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import cut, numbered
+from .common import cut, joined_small, numbered, running
 
 
 def curve(dims: int) -> tuple[list[int], list[int]]:
@@ -61,52 +60,90 @@ def hilbert(cells: Sequence[Column], bits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0)), start, step, lambda a: a["h"])
 
 
-def _measure(c: Column, kind: T.DataType) -> Column:
-    """A double that keeps the order of the column: the first six bytes of a string, the logarithm of a number."""
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        raw = F.encode(c, "utf-8") if isinstance(kind, T.StringType) else c
-        return F.conv(F.rpad(F.hex(F.substring(raw, 1, 6)), 12, "0"), 16, 10).cast("double")
-    if isinstance(kind, (T.TimestampType, T.DateType)):
-        return F.unix_timestamp(c.cast("timestamp")).cast("double")
-    x = c.cast("double")
-    x = F.when(F.isnan(x), F.lit(None)).otherwise(x)
-    return F.signum(x) * F.log1p(F.abs(x))
+def cells(rows: DataFrame, dim: str, n: int, bits: int) -> DataFrame:
+    """(value, cell) of each distinct whole value of a column: of the rows with a smaller value, those in 2^bits parts of all.
+
+    So steps hold equally many rows, as far as single values allow, and no two values trade places. Nulls come first, NaN
+    counts as null.
+    """
+    kinds = running(rows.groupBy(F.col(dim).alias("value")).agg(F.count("*").alias("_n")), ["value"], {"_before": F.col("_n")})
+    return cut(kinds.select("value", F.expr(f"_before * {1 << bits}L div {max(n, 1)}L").cast("int").alias("cell")))
 
 
 def sharded(docs: DataFrame, dims: Sequence[str], shards: int = 40, bits: int = 8, id_col: str = "doc_id",
             text: str = "text") -> DataFrame:
-    """(id, size, text_crc32, curve, shard, slot): every row in a run of the curve, run lengths at most one apart.
+    """(id, size, text_crc32, curve, shard, slot, dims): every row in a run of the curve, run lengths at most one apart.
 
-    `dims` are columns of numbers, strings, dates or times; each is laid on 2^bits equal steps between its least and
-    greatest value, nulls (and NaN) on the lowest. Rows go by curve index, then by text_crc32 (equal texts of a cell
-    stay together), id and size. A null text has 0 bytes and checksum 0. Fewer rows than shards leave shards empty.
+    `dims` are columns that can be ordered; each whole value lies on one of 2^bits steps, see cells(). Rows go by curve
+    index, then by text_crc32 (equal texts of a cell stay together), id and size; dims returns their values as a struct
+    (d0, d1, ...), for bounds(). A null text has 0 bytes and checksum 0; very long ones count by their bytes. Repeated rows are placed one by one.
+    Further columns play no part, whatever their names. Fewer rows than shards leave shards empty.
     """
     if not 1 <= len(dims) <= 4 or bits * len(dims) > 62:
         raise ValueError("the curve takes 1 to 4 dimensions and 62 bits in all")
     t = F.coalesce(F.col(text), F.lit(""))
-    kinds = {d: docs.schema[d].dataType for d in dims}
-    at = docs.select(F.col(id_col), (F.octet_length(t) + 16).cast("long").alias("size"), F.crc32(t).alias("text_crc32"),
-                     *[_measure(F.col(d), kinds[d]).alias(f"_m{i}") for i, d in enumerate(dims)])
+    kinds = {d: docs.schema[d].dataType.typeName() for d in dims}
+    held = [F.when(~F.isnan(d), F.col(d)) if kinds[d] in ("float", "double") else F.col(d) for d in dims]
+    at = docs.select(F.col(id_col).alias("_id"), (F.octet_length(t) + 16).cast("long").alias("size"), F.crc32(t).alias("text_crc32"),
+                     *[c.alias(f"_d{i}") for i, c in enumerate(held)])
     at = cut(at)
-    ends = at.agg(*[f(f"_m{i}") for i in range(len(dims)) for f in (F.min, F.max)]).first()
-    cells = []
+    n = at.count()
     for i in range(len(dims)):
-        low, high = ends[2 * i], ends[2 * i + 1]
-        x = F.lit(0)
-        if low is not None and high > low and high - low < float("inf"):
-            x = F.least(F.floor((F.col(f"_m{i}") - low) / (high - low) * (1 << bits)), F.lit((1 << bits) - 1))
-        cells.append(F.coalesce(x.cast("int"), F.lit(0)).alias(f"_c{i}"))
-    at = at.select(id_col, "size", "text_crc32", *cells)
-    at = at.select(id_col, "size", "text_crc32", hilbert([F.col(f"_c{i}") for i in range(len(dims))], bits).alias("curve"))
-    ranked, n = numbered(at, ["curve", "text_crc32", id_col, "size"], "_rank")
-    shard = F.expr(f"_rank * {shards}L div {max(n, 1)}L").cast("int")
-    ranked = ranked.withColumn("shard", shard)
+        steps = cells(at, f"_d{i}", n, bits)
+        at = joined_small(at, steps, at[f"_d{i}"].eqNullSafe(steps["value"])).drop("value").withColumnRenamed("cell", f"_c{i}")
+    curve_at = hilbert([F.col(f"_c{i}") for i in range(len(dims))], bits).alias("curve")
+    at = at.select("_id", "size", "text_crc32", curve_at, F.struct(*[F.col(f"_d{i}").alias(f"d{i}") for i in range(len(dims))]).alias("dims"))
+    ranked, _ = numbered(at, ["curve", "text_crc32", "_id", "size"], "_rank")
+    ranked = ranked.withColumn("shard", F.expr(f"_rank * {shards}L div {max(n, 1)}L").cast("int"))
     first = F.expr(f"(shard * {n}L + {shards - 1}L) div {shards}L")
-    return ranked.select(id_col, "size", "text_crc32", "curve", "shard", (F.col("_rank") - first).alias("slot"))
+    return ranked.select(F.col("_id").alias(id_col), "size", "text_crc32", "curve", "shard", (F.col("_rank") - first).alias("slot"), "dims")
+
+
+def bounds(placed: DataFrame) -> DataFrame:
+    """(shard, n, and of every dimension low_i, high_i, nulls_i): what a reader needs to pass shards over."""
+    dims = [f.name for f in placed.schema["dims"].dataType.fields]
+    return placed.groupBy("shard").agg(F.count("*").alias("n"), *[c for d in dims for c in (
+        F.min(f"dims.{d}").alias(f"low_{d[1:]}"), F.max(f"dims.{d}").alias(f"high_{d[1:]}"), F.count_if(F.col(f"dims.{d}").isNull()).alias(f"nulls_{d[1:]}"))])
+
+
+def touched(limits: DataFrame, box: dict[int, tuple]) -> DataFrame:
+    """The shards of bounds() that can hold rows of a box: for some dimensions, values from low to high, both included."""
+    for i, (low, high) in box.items():
+        limits = limits.where((F.col(f"high_{i}") >= F.lit(low)) & (F.col(f"low_{i}") <= F.lit(high)))
+    return limits
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents along the curve of source, lang and n_chars, in 40 shards by the law `rows`; see sharded()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = sharded(docs, ["source", "lang", "n_chars"])
     return got.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def _sql(dims: Sequence[str] = ("source", "lang", "n_chars"), bits: int = 8, shards: int = 40) -> str:
+    size = 1 << len(dims)
+    digit, after = curve(len(dims))
+    steps = ",\n".join(f"s{i} AS (SELECT value, coalesce(sum(n) OVER (ORDER BY value NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT * {1 << bits} // (SELECT count(*) FROM documents) AS c"
+                       f" FROM (SELECT {d} AS value, count(*) AS n FROM documents GROUP BY {d}))" for i, d in enumerate(dims))
+    joins = " ".join(f"JOIN s{i} ON s{i}.value IS NOT DISTINCT FROM b.{d}" for i, d in enumerate(dims))
+    cell = " + ".join(f"((s{i}.c >> l) & 1) * {1 << i}" for i in range(len(dims)))
+    states = size * len(dims)
+    # an accumulator holds the index so far, times the number of states, plus the state
+    at = f"(a % {states}) * {size} + {cell} + 1"
+    reduce = f"list_reduce({list(range(bits - 1, -1, -1))}::BIGINT[], lambda a, l: ((a // {states}) * {size} + {digit}[{at}]) * {states} + {after}[{at}], 0::BIGINT) // {states}"
+    crc = "xor(list_reduce(bytes, lambda c, x: xor(crcs[(xor(c, x) & 255) + 1], c >> 8), 4294967295), 4294967295)"
+    table = "list_transform(range(256), lambda x: list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, x))"
+    return f"""
+WITH {steps},
+b AS (SELECT doc_id, {', '.join(dims)}, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, length(h) // 2 + 16 AS size, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::BIGINT) AS bytes, {reduce} AS curve FROM b {joins}),
+t AS (SELECT {table} AS crcs),
+c AS (SELECT doc_id, size, {crc} AS text_crc32, curve FROM p CROSS JOIN t),
+r AS (SELECT *, row_number() OVER (ORDER BY curve, text_crc32, doc_id NULLS FIRST, size) - 1 AS rank, count(*) OVER () AS n FROM c),
+s AS (SELECT *, rank * {shards} // n AS shard FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INT AS shard, rank - (shard * n + {shards - 1}) // {shards} AS slot, NULL::INT AS grown_shard, curve FROM s
+"""
+
+
+SQL = _sql()
