@@ -11,31 +11,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, cut, joined_small
-from .jaccard import near_copies
 
 #: Shingles hashed at a time, so that one very long text needs no more memory than this.
 _BLOCK = 1 << 15
+#: Rows up to which hashes of rows are broadcast (some 15 MB); beyond it rows are shuffled to them.
+IDS = 400_000
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """The 64-bit SimHash of the word shingles, unsigned; see fingerprints()."""
+def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42, unsigned) of the word shingles with repeats, _BLOCK at a time; see fingerprints()."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return 0
+        return
     joined = b" ".join(w)
     ends = np.cumsum([len(x) + 1 for x in w]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    if len(w) > width:
-        starts, ends = starts[: len(w) - width + 1], ends[width - 1:]
-    else:
-        starts, ends = starts[:1], ends[-1:]
-    ones, total, h = np.zeros(64, dtype=np.int64), len(starts), xxhash.xxh64_intdigest
-    for at in range(0, total, _BLOCK):
+    k, h = min(width, len(w)), xxhash.xxh64_intdigest
+    starts, ends = starts[: len(w) - k + 1], ends[k - 1:]
+    for at in range(0, len(starts), _BLOCK):
         a, b = starts[at:at + _BLOCK].tolist(), ends[at:at + _BLOCK].tolist()
-        got = np.array([h(joined[i:j], 42) for i, j in zip(a, b)], dtype="<u8")
-        bits = np.unpackbits(got.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
+        yield np.array([h(joined[i:j], 42) for i, j in zip(a, b)], dtype="<u8")
+
+
+def summed(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def fingerprint(text: str | None, width: int) -> int:
+    """The 64-bit SimHash of the word shingles, unsigned; see fingerprints()."""
+    ones, total = np.zeros(64, dtype=np.int64), 0
+    for h in shingle_hashes(text, width):
+        ones += summed(h)
+        total += len(h)
+    return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0]) if total else 0
 
 
 def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -130,21 +139,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, bits: int = 2, id_col: str
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by fingerprints of 3-word shingles that link at 2 bits; see near_duplicates()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = near_duplicates(docs, width=3, bits=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies stays: the one with the smallest id, a null id coming last, then by a hash of
-    the row. Rows that repeat it whole stay once. Ids need not be unique: rows are known by a hash of all their columns.
+    """One row of each group of near copies stays: the one with the smallest id, a null id coming last, then by two hashes of
+    the row. Rows that repeat it whole stay once. Ids need not be unique: rows are known by 128 bits of all their columns,
+    which come back as they are whatever their names. Null texts and such without words are near copies of one another. An
+    empty table stays empty.
 
-    Groups are components under Jaccard similarity of 0.8 or more on 5-word shingles; see near_copies().
+    Groups are components under Jaccard similarity of 0.8 or more on 5-word shingles; SimHash anchors propose pairs and a
+    prefix filter those beyond their reach; see near_copies().
     """
-    row = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])  # the flags, since a hash passes nulls over
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("least")
-    keyed = docs.withColumn("_row", row)
-    at = cut(keyed.select("doc_id", "_row", F.xxhash64("text").alias("th")).groupBy("th").agg(least))
-    at = joined_small(at, near_copies(docs), "th").select("root", F.col("least.doc_id").alias("doc_id"), F.col("least._row").alias("_row"))
-    kept = cut(at.groupBy("root").agg(least).select(F.col("least._row").alias("_row")))
-    return joined_small(keyed, kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    from .jaccard import near_copies  # which itself builds on this module
+
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    flags = [F.col(f"`{c}`").isNull() for c in docs.columns]  # since a hash passes nulls over
+    keyed = docs.select(row.alias("_row"), F.xxhash64(row, *flags).alias("_h1"), F.xxhash64(F.lit(1), row, *flags).alias("_h2"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_h1", "_h2")).alias("least")
+    narrow = keyed.select(F.col("_row.doc_id").alias("id"), "_h1", "_h2", F.xxhash64("_row.text").alias("th"))
+    at = cut(narrow.groupBy("th").agg(least))
+    at = joined_small(at, near_copies(docs.select("text")), "th").select("root", "least.*")
+    kept = cut(at.groupBy("root").agg(least).select("least._h1", "least._h2"))
+    return joined_small(keyed, kept, ["_h1", "_h2"], "left_semi", IDS).dropDuplicates(["_h1", "_h2"]).select("_row.*")
