@@ -244,29 +244,50 @@ def _lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                        F.posexplode(F.split(text, "\n")).alias("no", "line"))
 
 
+def _key(line: Column | str) -> Column:
+    """What joins know a line by."""
+    return F.xxhash64(line)
+
+
+def _tag(line: Column | str) -> Column:
+    """64 bits more, which tell lines of one key apart."""
+    return F.xxhash64(F.lit(1), line)
+
+
 def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text: str = "text",
                   short: bool = False) -> DataFrame:
     """(doc, th, drop): for each document with lines to drop, their places from 0; th is xxhash64 of its text.
 
     Lines of at least `least` characters form classes: components under links of at most `edits` edits. Shorter lines are
     a class with their exact copies if `short`, else stay; those of blanks alone always stay. Of each class the line stays
-    that comes first by (id, place); all others go. Ids are whole numbers; rows
-    without one count as the first. Lines are known by their 64-bit hash. Rows that repeat id and text share a
-    decision. Null texts have no lines.
+    that comes first by (id, place); all others go. Ids are whole numbers; rows without one count as the first. Lines
+    are known by 128 bits: two lines of one key are found by their tags and get keys of their own. Rows that repeat id and
+    text share a decision. Null texts have no lines, very long ones are split whole, an empty table gives no rows.
     """
     every = _lines(docs, id_col, text).where((F.length("line") >= least) | (F.lit(short) & (trimmed("line") != "")))
-    every = every.withColumn("id", F.xxhash64("line"))
+    every = every.select("*", _key("line").alias("id"), _tag("line").alias("tag"), (F.length("line") >= least).alias("long"))
     spot = F.coalesce("doc", F.lit("-1" + "0" * 19).cast("decimal(20,0)")).cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(12,0)") + F.col("no")
-    spots = stored(every.select("doc", "th", "no", "id", spot.cast("decimal(38,0)").alias("spot")))
-    lines = stored(every.where(F.length("line") >= least).groupBy("id").agg(F.first("line").alias("line")))
-    firsts = spots.groupBy("id").agg(F.min("spot").alias("first"), F.count("*").alias("n"))
+    spots = stored(every.select("doc", "th", "no", "id", "tag", "long", spot.cast("decimal(38,0)").alias("spot")))
+    lines = stored(every.where("long").groupBy("id", "tag").agg(F.first("line").alias("line")))
+    twins = cut(lines.groupBy("id").agg(F.count("*").alias("_k")).where("_k > 1").select("id", F.lit(True).alias("_twin")))
+    some = twins.limit(1).count() > 0  # two lines of one key among the long ones: as good as never
+
+    def node(df: DataFrame) -> DataFrame:
+        if not some:
+            return df.withColumn("node", F.col("id"))
+        return joined_small(df, twins, "id", "left").withColumn("node", F.when(F.col("_twin"), F.xxhash64("id", "tag")).otherwise(F.col("id"))).drop("_twin")
+
+    lines = node(lines).select(F.col("node").alias("id"), "line")
+    firsts = spots.groupBy("id", "tag").agg(F.min("spot").alias("first"), F.count("*").alias("n"), F.first("long").alias("long"))
     edges = cut(_measured(candidates(lines, edits), lines, edits))
     roots = cut(components(edges))
-    at = firsts.join(roots.withColumnRenamed("node", "id"), "id", "left")
-    at = cut(at.where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "id")))
-    stay = at.groupBy("root").agg(F.min("first").alias("stay"))
-    at = cut(at.join(stay, "root").select("id", "stay"))
-    gone = joined_small(spots, at, "id").where("spot <> stay")
+    firsts = node(firsts)
+    at = firsts.join(roots.withColumnRenamed("node", "_of"), F.col("long") & (F.col("node") == F.col("_of")), "left")
+    at = at.where("n > 1 or root is not null").select("id", "tag", "first", F.coalesce("root", "id").alias("root"), F.when(F.col("root").isNull(), F.col("tag")).alias("alone"))
+    at = cut(at)
+    stay = at.groupBy("root", "alone").agg(F.min("first").alias("stay")).withColumnsRenamed({"root": "_root", "alone": "_alone"})
+    at = cut(at.join(stay, (F.col("root") == F.col("_root")) & F.col("alone").eqNullSafe(F.col("_alone"))).select("id", "tag", "stay"))
+    gone = joined_small(spots.drop("long"), at, ["id", "tag"]).where("spot <> stay")
     return gone.groupBy("doc", "th").agg(F.collect_set("no").alias("drop"))
 
 
@@ -288,10 +309,41 @@ def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_docs = docs.select("doc_id", F.xxhash64("text").alias("th"), n.alias("n_lines"))
     same = (all_docs["doc_id"].cast("decimal(20,0)").eqNullSafe(gone["doc"])) & (all_docs["th"] == gone["th"])
     drop = F.coalesce(F.array_sort("drop"), F.array().cast("array<int>"))
-    return joined_small(all_docs, gone, same, "left").select(
+    return all_docs.join(gone, same, "left").select(  # by shuffle at every size: the lists have no bound
         all_docs["doc_id"], "n_lines", (F.col("n_lines") - F.size(drop)).alias("n_kept"), drop.alias("dropped"))
 
 
 def stage_linededup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their repeated lines; a document all of whose lines go is left out."""
+    """All documents, without their repeated lines; a document all of whose lines go is left out, and so is one without a
+    word to begin with: a null, empty or blank text. Other columns come back as they are.
+    """
     return dedup_lines(docs, short=True).where(trimmed("text") != "")
+
+
+def _sql(edits: int = EDITS, least: int = LEAST_CHARS) -> str:
+    """The same by trying all pairs of about one length that share a third of a line, and the least line reachable."""
+    piece = lambda i: f"contains(b.line, substr(a.line, a.w * {i} + 1, {'a.w' if i < edits else 'a.n - a.w * ' + str(i)}))"
+    return rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+every AS (SELECT rid, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM d WHERE text IS NOT NULL),
+spots AS (SELECT * FROM every WHERE length(line) >= {least} OR regexp_matches(line, '[^\x20\x09-\x0D]')),
+kinds AS (SELECT line, length(line) AS n, length(line) // {edits + 1} AS w, row_number() OVER () AS k FROM spots WHERE length(line) >= {least} GROUP BY line),
+pairs AS (SELECT a.k AS x, b.k AS y, a.line AS p, b.line AS q FROM kinds a JOIN kinds b ON b.n BETWEEN a.n AND a.n + {edits} AND a.k <> b.k
+          WHERE {' OR '.join(piece(i) for i in range(edits + 1))}),
+-- DuckDB counts bytes: of each pair, characters of several bytes become such of one that neither line has
+odd AS (SELECT *, list_filter(list_distinct(string_split(p || q, '')), lambda c: octet_length(encode(c)) > 1) AS wide,
+               list_filter(list_transform(range(1, 128), lambda i: chr(i::INT)), lambda c: NOT contains(p || q, c)) AS free FROM pairs),
+near AS (SELECT x, y FROM odd WHERE levenshtein(translate(p, array_to_string(wide, ''), array_to_string(free[1:len(wide)], '')),
+                                                translate(q, array_to_string(wide, ''), array_to_string(free[1:len(wide)], ''))) <= {edits}),
+links AS (SELECT x, y FROM near UNION SELECT y, x FROM near),
+reach(k, c) AS (SELECT k, k FROM kinds UNION SELECT links.y, reach.c FROM reach JOIN links ON links.x = reach.k),
+classes AS (SELECT line, 'k' || min(c)::VARCHAR AS class FROM reach JOIN kinds USING (k) GROUP BY line),
+placed AS (SELECT rid, doc_id, no, coalesce(class, 's' || line) AS class FROM spots LEFT JOIN classes USING (line)),
+ranked AS (SELECT rid, no, dense_rank() OVER (PARTITION BY class ORDER BY doc_id NULLS FIRST, no) AS r FROM placed),
+gone AS (SELECT rid, list(no::INT ORDER BY no) AS dropped FROM ranked WHERE r > 1 GROUP BY rid)
+SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines, n_lines - len(coalesce(dropped, [])) AS n_kept, coalesce(dropped, []::INT[]) AS dropped
+FROM d LEFT JOIN gone USING (rid)
+"""
+
+
+SQL = _sql()
