@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 import sys
-from dataclasses import replace
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from .engine import BoundSelect, Engine
-from .plans.parser import parse_select
+from .plans.parser import parse_statement
 from .plans.planner import explain
 from .sources.records import RecordStore
 from .types import INT_MAX, INT_MIN, Column, DataType, fold
@@ -33,10 +34,19 @@ _TYPES = {"int": DataType.INTEGER, "integer": DataType.INTEGER, "text": DataType
 _ESCAPES = str.maketrans({"\\": "\\\\", "\t": "\\t", "\n": "\\n", "\r": "\\r"})
 
 
+#: What a statement or command can fail with; anything else is a fault of the program.
+FAULTS = (ValueError, LookupError, RuntimeError, PySparkException, Py4JError)
+
+
 class UsageError(Exception):
     pass
 
 
+def said(e: BaseException) -> str:
+    """The first line of a fault."""
+    return (str(e.args[0] if e.args and isinstance(e.args[0], str) else e) or type(e).__name__).splitlines()[0]
+
+
 def column_spec(text: str) -> Column:
     name, colon, kind = text.rpartition(":")
     nullable = kind.endswith("?")
@@ -77,8 +87,7 @@ def run_sql(engine: Engine, sql: str, out) -> None:
         return
     print("\t".join(c.name for c in got.output_schema), file=out)
     if got.plan.order is None and got.plan.limit is None:
-        # rows come in their own order, which Spark keeps only if asked; a limit that never binds asks for it
-        got = engine.bind(replace(parse_select(sql), limit=2**63))
+        got = engine.bind(parse_statement(sql), in_order=True)  # rows come in their own order, which Spark keeps only if asked
     for r in got.rows():
         print("\t".join(shown(v) for v in r), file=out)
 
@@ -115,8 +124,8 @@ def shell(engine: Engine, lines, out, err) -> int:
                 raise ValueError(f"unknown command: {line}")
             else:
                 run_sql(engine, line, out)
-        except (ValueError, LookupError, RuntimeError) as e:
-            print(f"error: {e.args[0] if e.args else e}", file=err)
+        except FAULTS as e:
+            print(f"error: {said(e)}", file=err)
 
 
 def command(spark: SparkSession, args: list[str], out=None, err=None, lines=None) -> None:
@@ -155,18 +164,29 @@ def command(spark: SparkSession, args: list[str], out=None, err=None, lines=None
         raw(RecordStore(spark, f"{path}/records"), name, rest, out)
 
 
+def as_bytes(out, data: bytes) -> None:
+    """Writes bytes as they are; to a stream of text alone, those that are no UTF-8 as surrogates, which give them back."""
+    below = getattr(out, "buffer", None)
+    if below is None:
+        out.write(data.decode("utf-8", "surrogateescape"))
+    else:
+        out.flush()
+        below.write(data)
+        below.flush()
+
+
 def raw(store: RecordStore, name: str, rest: list[str], out) -> None:
     if name == "put":
         print(store.insert(rest[0].encode("utf-8", "surrogateescape")), file=out)
     elif name == "list":
-        for rid, data in store.scan():
-            print(f"{rid}\t{data.decode('utf-8', 'replace')}", file=out)
+        for r in store.cursor():
+            as_bytes(out, f"{r['rid']}\t".encode() + bytes(r["bytes"]) + b"\n")
     else:
         if not rest[0].isdecimal():
             raise ValueError(f"invalid record id: {rest[0]}")
         rid = int(rest[0])
         if name == "get":
-            print(store.read(rid).decode("utf-8", "replace"), file=out)
+            as_bytes(out, store.read(rid) + b"\n")
         elif not store.erase(rid):
             raise LookupError(f"no record {rid}")
         else:
@@ -185,8 +205,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, out=N
     except UsageError:
         print(USAGE, file=err)
         return 2
-    except (ValueError, LookupError, RuntimeError) as e:
-        print(f"{PROGRAM}: {e.args[0] if e.args else e}", file=err)
+    except FAULTS as e:
+        print(f"{PROGRAM}: {said(e)}", file=err)
         return 1
 
 

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .errors import IndexCorruption, TableCorruption
 from .operators.query import Query
-from .plans.lowering import lower
+from .operators.ranking import placed
+from .plans.lowering import lower, order_of
 from .plans.parser import ExplainPlan, SelectPlan, parse_select, parse_statement
 from .plans.planner import BoundPlan, bind, explain
 from .sources.catalog import Catalog, Folder, IndexEntry, TableEntry
@@ -19,6 +22,11 @@ from .types import RID, Column, DataType, Schema, check_row, fold, schema_of, sp
 
 #: Deleted ids up to which they are broadcast to every reader; beyond it the anti join shuffles.
 BROADCAST_GONE = 100_000
+#: Rows from the driver up to which a batch is written without a job.
+DIRECT = 100_000
+#: What load() takes for each type; a narrower integer is widened.
+_TAKES = {DataType.INTEGER: (T.ByteType, T.ShortType, T.IntegerType, T.LongType), DataType.TEXT: (T.StringType,), DataType.BOOLEAN: (T.BooleanType,)}
+_ARROW = {DataType.INTEGER: pa.int64(), DataType.TEXT: pa.string(), DataType.BOOLEAN: pa.bool_()}
 #: Hidden columns that order the rows of registered files.
 _FILE, _ROW = "_file", "_row"
 
@@ -29,6 +37,15 @@ class BoundSelect:
 
     df: DataFrame
     plan: BoundPlan
+    #: The rows before order and limit, with the columns that order them.
+    ordered: tuple[DataFrame, list] | None = None
+
+    def placed(self, name: str) -> DataFrame:
+        """The result with each row's place from 1 in its order."""
+        df, order = self.ordered
+        got = placed(df, order, name)
+        got = got if self.plan.limit is None else got.where(F.col(name) <= self.plan.limit)
+        return got.select(*[F.col(c.name) for c in self.plan.output], name)
 
     @property
     def output_schema(self) -> Schema:
@@ -50,7 +67,7 @@ class Engine:
     """Open with create() or open(); Engine(spark) alone holds registered files only.
 
     A reader works on the catalog it has loaded, so it sees a snapshot. Every write makes new folders and then replaces
-    the catalog file; a failed write leaves the catalog as it was.
+    the catalog file; a failed write leaves the catalog as it was. Folders that a write replaces stay until vacuum().
     """
 
     def __init__(self, spark: SparkSession, folder: Folder | None = None, catalog: Catalog | None = None):
@@ -71,7 +88,14 @@ class Engine:
         folder = Folder(spark, path)
         if not folder.exists("catalog.json"):
             raise LookupError(f"no database: {path}")
-        return cls(spark, folder, Catalog.loaded(folder.read("catalog.json")))
+        e = cls(spark, folder, Catalog.loaded(folder.read("catalog.json")))
+        for t in e.catalog.tables:
+            for b in (*t.batches, *t.gone):
+                if not folder.exists(b):
+                    raise TableCorruption(f"table {t.name}: missing files: {b}")
+        for i in e.catalog.indexes:
+            e._check_index(i)
+        return e
 
     # definitions
 
@@ -113,9 +137,19 @@ class Engine:
         self._commit(changed)
 
     def _index_files(self, batch: str) -> None:
-        if self.folder is None or not self.folder.exists(batch):
+        found = Folder(self.spark, batch).exists() if self._whole(batch) else self.folder is not None and self.folder.exists(batch)
+        if not found:
             raise IndexCorruption(f"missing index files: {batch}")
 
+    def _check_index(self, i: IndexEntry) -> None:
+        for b in i.batches if i.stored else ():
+            self._index_files(b)
+
+    @staticmethod
+    def _whole(path: str) -> bool:
+        """Whether a path stands by itself, not below the database's folder."""
+        return path.startswith("/") or "://" in path or path.startswith("file:")
+
     # reading
 
     def _read(self, schema: Schema, batches: list[str]) -> DataFrame:
@@ -130,11 +164,39 @@ class Engine:
         gone = self.spark.read.schema(f"{RID} long").parquet(*[f"{self.folder.path}/{g}" for g in t.gone])
         return df.join(F.broadcast(gone) if t.n_gone <= BROADCAST_GONE else gone, RID, "left_anti")
 
+    def _leading(self, t: TableEntry, n: int) -> DataFrame:
+        """A part of a table's rows that holds its first n, from as few batches or files as their counts allow."""
+        if fold(t.name) in self._frames:
+            return self._base(t)
+        if t.path is None:
+            if len(t.counts) != len(t.batches):
+                return self._base(t)
+            some, held = 0, 0
+            while some < len(t.batches) and held < n + t.n_gone:
+                held += t.counts[some]
+                some += 1
+            return self._live(t, self._read(t.schema, t.batches[:some]))
+        # registered files tell their rows by their footers; of the last one needed, only rows before the limit count
+        files, held, some = sorted(self.spark.read.parquet(t.path).inputFiles()), 0, []
+        for f in files:
+            some.append(f)
+            if held + (k := self.spark.read.parquet(f).count()) >= n:
+                break
+            held += k
+        if not some:
+            return self._base(t)
+        df = self._shown_with_rows(self.spark.read.schema(self.spark.read.parquet(t.path).schema).parquet(*some))
+        return df.where((F.col(_FILE) != F.lit(some[-1])) | (F.col(_ROW) < n - held))
+
+    @staticmethod
+    def _shown_with_rows(df: DataFrame) -> DataFrame:
+        return df.select("*", F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.row_index").alias(_ROW))
+
     def _base(self, t: TableEntry) -> DataFrame:
         if fold(t.name) in self._frames:
             return self._frames[fold(t.name)][0]
         if t.path is not None:
-            return self.spark.read.parquet(t.path).select("*", F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.row_index").alias(_ROW))
+            return self._shown_with_rows(self.spark.read.parquet(t.path))
         return self._live(t, self._read(t.schema, t.batches))
 
     def _ties(self, t: TableEntry) -> list[str]:
@@ -145,7 +207,18 @@ class Engine:
     def _copy(self, i: IndexEntry) -> DataFrame | None:
         """The index's sorted copy of the table, if it has one."""
         t = self.catalog.table(i.table)
-        return self._live(t, self._read(t.schema, i.batches)) if i.stored and t.path is None else None
+        if not i.stored:
+            return None
+        self._check_index(i)
+        if t.path is None:
+            return self._live(t, self._read(t.schema, i.batches))
+        if i.source != self._marks(t):
+            return None  # the files were written anew since; the table itself is read
+        return self.spark.read.parquet(*[b if self._whole(b) else f"{self.folder.path}/{b}" for b in i.batches])
+
+    def _marks(self, t: TableEntry) -> str:
+        folder = self.folder or Folder(self.spark, t.path)
+        return folder.marks(self.spark.read.parquet(t.path).inputFiles())
 
     def table(self, name: str) -> DataFrame:
         """The rows of a table with its declared columns."""
@@ -171,15 +244,19 @@ class Engine:
     def query(self, name: str) -> Query:
         """The fluent pipeline over a table."""
         t = self.catalog.table(name)
-        return Query(self._base(t), [c.name for c in t.schema], self._ties(t))
+        return Query(self._base(t), [c.name for c in t.schema], self._ties(t), lambda n: self._leading(t, n))
 
     # SQL
 
-    def bind(self, plan: SelectPlan) -> BoundSelect:
+    def bind(self, plan: SelectPlan, in_order: bool = False) -> BoundSelect:
+        """in_order: rows come in their order even if the statement asks for none."""
         b = bind(plan, self.catalog)
         t = self.catalog.table(b.table)
         copy = self._copy(self.catalog.index(b.access.index)) if b.access is not None and not b.empty else None
-        return BoundSelect(lower(b, self._base(t), copy, self._ties(t)), b)
+        ahead = b.limit and b.order is None and b.access is None and not b.predicates
+        base, ties = self._leading(t, b.limit) if ahead else self._base(t), self._ties(t)
+        rows = lower(replace(b, limit=None, order=None, output=b.schema), base, copy, ties, hidden=True)
+        return BoundSelect(lower(b, base, copy, ties, in_order), b, (rows, order_of(b, ties)))
 
     def select(self, sql: str) -> BoundSelect:
         return self.bind(parse_select(sql))
@@ -212,19 +289,27 @@ class Engine:
         t = self._managed(name)
         checked = [check_row(t.schema, r) for r in rows]
         numbered = [(*r, t.next_rid + k) for k, r in enumerate(checked)]
-        if numbered:
+        if 0 < len(numbered) <= DIRECT:
+            fields = [pa.field(c.name, _ARROW[c.type], c.nullable) for c in t.schema] + [pa.field(RID, pa.int64(), False)]
+            self._add(t, pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*numbered), fields)], schema=pa.schema(fields)), len(numbered))
+        elif numbered:
             self._add(t, self.spark.createDataFrame(numbered, spark_schema(t.schema, rid=True)), len(numbered))
         return range(t.next_rid, t.next_rid + len(numbered))
 
     def load(self, name: str, df: DataFrame, batch: tuple[str, int] | None = None) -> int:
         """Adds a DataFrame of the table's columns, without taking rows to the driver; returns how many.
 
+        Nothing is converted, but narrower integers are widened; ValueError for another type, or for a NULL where none may be.
         batch: (stream, number) of a micro-batch. The commit keeps it with the rows; one that comes again adds nothing.
         """
         t = self._managed(name)
         if batch is not None and batch[1] <= t.streams.get(batch[0], -1):
             return 0
         want = spark_schema(t.schema)
+        for c in t.schema:
+            kind = df.schema[c.name].dataType if c.name in df.columns else None
+            if not isinstance(kind, (*_TAKES[c.type], *[T.NullType] * c.nullable)):
+                raise ValueError(f"column {c.name} of type {c.type.value} cannot be loaded from {kind.simpleString() if kind else 'no column'}")
         df = df.select(*[F.col(c.name).cast(f.dataType).alias(c.name) for c, f in zip(t.schema, want.fields)])
         bad = [c.name for c in t.schema if not c.nullable]
         staged = f"tables/{fold(t.name)}/stage-{uuid.uuid4().hex}"
@@ -246,18 +331,24 @@ class Engine:
         finally:
             self.folder.delete(staged)
 
-    def _add(self, t: TableEntry, rows: DataFrame, n: int, batch: tuple[str, int] | None = None) -> None:
+    def _add(self, t: TableEntry, rows: DataFrame | pa.Table, n: int, batch: tuple[str, int] | None = None) -> None:
         changed = self.catalog.copied()
         tag, made = uuid.uuid4().hex, []
         entry = changed.table(t.name)
         try:
             made.append(f"tables/{fold(t.name)}/batch-{tag}")
-            rows.write.parquet(f"{self.folder.path}/{made[0]}")
+            if isinstance(rows, pa.Table):
+                self.folder.write_rows(made[0], rows)
+            else:
+                rows.write.parquet(f"{self.folder.path}/{made[0]}")
+                rows = self._read(t.schema, [made[0]])
+            if len(entry.counts) == len(entry.batches):
+                entry.counts.append(n)
             entry.batches.append(made[0])
-            rows = self._read(t.schema, [made[0]])
             for i in changed.indexes:
                 if i.table == t.name and i.stored:
-                    made.append(self._write_index(i.name, i.column, rows, tag))
+                    made.append(self._index_at(i.name, tag))
+                    self._write_index(made[-1], i.column, rows)
                     i.batches.append(made[-1])
             entry.next_rid += n
             if batch is not None:
@@ -268,11 +359,17 @@ class Engine:
                 self.folder.delete(m)
             raise
 
-    def _write_index(self, name: str, column: str, rows: DataFrame, tag: str) -> str:
-        at = f"indexes/{fold(name)}/batch-{tag}"
+    @staticmethod
+    def _index_at(name: str, tag: str) -> str:
+        return f"indexes/{fold(name)}/batch-{tag}"
+
+    def _write_index(self, at: str, column: str, rows: DataFrame | pa.Table, ties: Sequence[str] = (RID,)) -> None:
+        """A copy of the rows whose key is not NULL, in ranges sorted by (key, ties)."""
+        if isinstance(rows, pa.Table):
+            keyed = rows.filter(rows[column].is_valid())
+            return self.folder.write_rows(at, keyed.sort_by([(column, "ascending"), (RID, "ascending")]))
         keyed = rows.where(F.col(column).isNotNull())
-        keyed.repartitionByRange(column, RID).sortWithinPartitions(column, RID).write.parquet(f"{self.folder.path}/{at}")
-        return at
+        keyed.repartitionByRange(column, *ties).sortWithinPartitions(column, *ties).write.parquet(at if self._whole(at) else f"{self.folder.path}/{at}")
 
     def erase(self, name: str, rid: int) -> bool:
         """Deletes a row from the table and its indexes; False if there is none."""
@@ -287,54 +384,89 @@ class Engine:
         changed = self.catalog.copied()
         entry = changed.table(t.name)
         at = f"tables/{fold(t.name)}/gone-{uuid.uuid4().hex}"
-        self.spark.createDataFrame([(rid,)], f"{RID} long").coalesce(1).write.parquet(f"{self.folder.path}/{at}")
+        self.folder.write_rows(at, pa.table({RID: pa.array([rid], pa.int64())}))
         entry.gone.append(at)
         entry.n_gone += 1
         self._commit(changed)
         return True
 
     def compact(self, name: str) -> None:
-        """Rewrites a table and its indexes as one batch each, without deleted rows; ids stay."""
+        """Rewrites a table and its indexes as one batch each, without deleted rows; ids stay.
+
+        Readers that are open go on with the old folders, which stay until vacuum().
+        """
         t = self._managed(name)
-        old = [*t.batches, *t.gone, *[b for i in self.catalog.indexes if i.table == t.name for b in i.batches]]
         changed = self.catalog.copied()
         entry = changed.table(t.name)
-        tag = uuid.uuid4().hex
-        at = f"tables/{fold(t.name)}/batch-{tag}"
-        self._base(t).repartitionByRange(RID).sortWithinPartitions(RID).write.parquet(f"{self.folder.path}/{at}")
-        rows = self._read(t.schema, [at])
-        entry.batches, entry.gone, entry.n_gone = [at], [], 0
-        for i in changed.indexes:
-            if i.table == t.name and i.stored:
-                i.batches = [self._write_index(i.name, i.column, rows, tag)]
+        tag, made = uuid.uuid4().hex, []
+        try:
+            made.append(f"tables/{fold(t.name)}/batch-{tag}")
+            self._base(t).repartitionByRange(RID).sortWithinPartitions(RID).write.parquet(f"{self.folder.path}/{made[0]}")
+            rows = self._read(t.schema, made[:1])
+            entry.replaced += [*t.batches, *t.gone]
+            entry.batches, entry.gone, entry.n_gone, entry.counts = made[:1], [], 0, [rows.count()]
+            for i in changed.indexes:
+                if i.table == t.name and i.stored:
+                    made.append(self._index_at(i.name, tag))
+                    self._write_index(made[-1], i.column, rows)
+                    entry.replaced += i.batches
+                    i.batches = made[-1:]
+            self._commit(changed)
+        except BaseException:
+            for m in made:
+                self.folder.delete(m)
+            raise
+
+    def vacuum(self) -> int:
+        """Deletes the folders that writes have replaced, once no reader opened before is left; returns how many."""
+        if self.folder is None:
+            raise ValueError("no database is open")
+        changed, old = self.catalog.copied(), []
+        for t in changed.tables:
+            old += t.replaced
+            t.replaced = []
         self._commit(changed)
         for m in old:
             self.folder.delete(m)
+        return len(old)
 
     # indexes
 
-    def create_index(self, name: str, table: str, column: str) -> None:
-        """Builds the sorted copy from the rows whose key is not NULL, then registers it."""
+    def create_index(self, name: str, table: str, column: str, at: str | None = None) -> None:
+        """Builds the sorted copy from the rows whose key is not NULL, then registers it.
+
+        at: for registered files outside a database, the folder to keep the copy in; without one the index only steers
+        planning. A copy of registered files is read as long as they are the same.
+        """
         t, c = self.catalog.check_index(name, table, column)
-        if t.path is not None:
+        tag = uuid.uuid4().hex
+        if fold(t.name) in self._frames or (t.path is not None and self.folder is None and at is None):
             return self.register_index(name, table, column)
-        batch = self._write_index(name, c.name, self._base(t), uuid.uuid4().hex)
-        changed = self.catalog.copied()
+        batch = self._index_at(name, tag)
+        batch = batch if self.folder is not None and at is None else f"{at}/{batch}"
+        source = self._marks(t) if t.path is not None else None
         try:
-            changed.register_index(name, table, column, [batch])
+            self._write_index(batch, c.name, self._base(t), self._ties(t))
+            changed = self.catalog.copied()
+            changed.register_index(name, table, column, [batch]).source = source
             self._commit(changed)
         except BaseException:
-            self.folder.delete(batch)
+            Folder(self.spark, batch if self._whole(batch) else f"{self.folder.path}/{batch}").delete("")
             raise
 
+    def describe_index(self, name: str) -> dict:
+        """What an index holds: its table and column, entries, files, and least and greatest key."""
+        i, df = self._entries(name)
+        r = df.agg(F.count("*"), F.min(i.column), F.max(i.column)).first()
+        return {"index": i.name, "table": i.table, "column": i.column, "stored": i.stored, "entries": r[0], "files": len(df.inputFiles()) if i.stored else 0,
+                "least": r[1], "greatest": r[2]}
+
     def _entries(self, name: str) -> tuple[IndexEntry, DataFrame]:
         i = self.catalog.index(name)
         copy = self._copy(i)
         if copy is None:
             t = self.catalog.table(i.table)
             return i, self._base(t).where(F.col(i.column).isNotNull())
-        for b in i.batches:
-            self._index_files(b)
         return i, copy
 
     def lookup_index(self, name: str, key: int, limit: int | None = None) -> DataFrame:

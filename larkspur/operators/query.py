@@ -10,8 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.predicates import nulls_last
 from ..types import RID, Schema, check_row, spark_schema
-
-_LIMIT = 2**31 - 1
+from .ranking import MOST, first_rows
 
 
 class Query:
@@ -19,11 +18,15 @@ class Query:
     keep the order of rows, in which ties of a sort and the rows under a limit come.
     """
 
-    def __init__(self, df: DataFrame, names: Sequence[str], ties: Sequence[str]):
-        self._names = list(names)
+    def __init__(self, df: DataFrame, names: Sequence[str], ties: Sequence[str], leading: Callable[[int], DataFrame] | None = None):
+        """leading: gives a part of df that holds its first n rows, so that a limit at once reads no more."""
+        self._names, self._leading = list(names), leading
         #: (hidden column, whether falling), the first leads
         self._order = [(t, False) for t in ties]
-        self._df = df.select(*[F.col(n).alias(f"c{i}") for i, n in enumerate(names)], *ties)
+        self._df = self._laid_out(df)
+
+    def _laid_out(self, df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(n).alias(f"c{i}") for i, n in enumerate(self._names)], *[h for h, _ in self._order])
 
     @classmethod
     def from_rows(cls, spark: SparkSession, rows: Sequence[Sequence], schema: Schema) -> Query:
@@ -43,7 +46,7 @@ class Query:
 
     def _with(self, df: DataFrame, names=None, order=None) -> Query:
         new = object.__new__(Query)
-        new._df, new._names, new._order = df, self._names if names is None else names, order or self._order
+        new._df, new._names, new._order, new._leading = df, self._names if names is None else names, order or self._order, None
         return new
 
     def filter(self, test: Column | Callable[[tuple], bool]) -> Query:
@@ -74,10 +77,14 @@ class Query:
     def limit(self, n: int) -> Query:
         if n < 0:
             raise ValueError("a limit is not negative")
-        return self if n > _LIMIT else self._with(self._ordered().limit(n))
+        df = self._df if self._leading is None else self._laid_out(self._leading(n))
+        return self._with(first_rows(df, self._keys(), n, MOST))
+
+    def _keys(self) -> list[Column]:
+        return [nulls_last(F.col(h), down) for h, down in self._order]
 
     def _ordered(self) -> DataFrame:
-        return self._df.orderBy(*[nulls_last(F.col(h), down) for h, down in self._order])
+        return self._df.orderBy(*self._keys())
 
     def _shown(self, df: DataFrame) -> DataFrame:
         return df.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(self._names)])

@@ -6,22 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import condition, nulls_last
+from ..operators.ranking import MOST, first_rows
 from .planner import BoundPlan
 
-#: Spark's limit takes 32 bits; a greater one never binds before the rows end.
-_LIMIT = 2**31 - 1
 
-
-def lower(plan: BoundPlan, base: DataFrame, index: DataFrame | None, ties: list[str], distinct_order: bool = False) -> DataFrame:
+def lower(plan: BoundPlan, base: DataFrame, index: DataFrame | None, ties: list[str], in_order: bool = False, most: int = MOST,
+          hidden: bool = False) -> DataFrame:
     """Filters, order, output columns, limit.
 
     base: the table with its hidden columns; index: the index's sorted copy of it, if there is one. `ties` are hidden
     columns that give the rows' own order. Ties of an ordered result, and rows under a LIMIT alone, come in it:
-    by `ties` for scans and lookups, by key and `ties` for ranges.
+    by `ties` for scans and lookups, by key and `ties` for ranges. in_order asks for it without either. hidden: with the
+    hidden columns, for an order that is still to come.
     """
     a = plan.access
     if plan.empty:
-        return _shown(plan, base.limit(0))
+        return base.limit(0) if hidden else _shown(plan, base.limit(0))
     df = index if index is not None and a is not None else base
     if a is not None:
         key = F.col(a.column)
@@ -34,21 +34,23 @@ def lower(plan: BoundPlan, base: DataFrame, index: DataFrame | None, ties: list[
                 df = df.where(key <= a.upper)
     for p in plan.predicates:
         df = df.where(condition(p))
-    order = _order(plan, ties, distinct_order)
-    if order:
+    order = order_of(plan, ties)
+    if plan.limit is not None:
+        df = first_rows(df, order, plan.limit, most)
+    elif plan.order is not None or in_order:
         df = df.orderBy(*order)
-    df = _shown(plan, df)
-    return df.limit(plan.limit) if plan.limit is not None and plan.limit <= _LIMIT else df
+    return df if hidden else _shown(plan, df)
 
 
-def _order(plan: BoundPlan, ties: list[str], distinct_order: bool) -> list[Column]:
+def order_of(plan: BoundPlan, ties: list[str]) -> list[Column]:
+    """The whole order of a plan's rows, without ties."""
     rest = [F.col(t) for t in ties]
     if plan.access is not None and not plan.access.lookup:
         rest = [F.col(plan.access.column)] + rest
     if plan.order is None:
-        return rest if plan.limit is not None else []
+        return rest
     first = nulls_last(F.col(plan.order.name), plan.descending)
-    return [first] if distinct_order else [first, *[c for c in rest if str(c) != str(F.col(plan.order.name))]]
+    return [first, *[c for c in rest if str(c) != str(F.col(plan.order.name))]]
 
 
 def _shown(plan: BoundPlan, df: DataFrame) -> DataFrame:

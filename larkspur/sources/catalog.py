@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import copy
+import hashlib
+import io
 import json
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import SparkSession
 
 from ..errors import CatalogCorruption
@@ -23,6 +28,10 @@ class TableEntry:
     batches: list[str] = field(default_factory=list)
     gone: list[str] = field(default_factory=list)
     n_gone: int = 0
+    #: Rows of each batch; ids rise from batch to batch. Shorter than `batches` if unknown.
+    counts: list[int] = field(default_factory=list)
+    #: Folders that no longer count but that open readers may still read; vacuum() deletes them.
+    replaced: list[str] = field(default_factory=list)
     next_rid: int = 0
     #: Set for registered Parquet files, which are never written.
     path: str | None = None
@@ -38,6 +47,8 @@ class IndexEntry:
     batches: list[str] = field(default_factory=list)
     #: Whether there is a sorted copy; without one the index only steers planning.
     stored: bool = True
+    #: For a copy of registered files, what they were when it was made; a copy of other files is not read.
+    source: str | None = None
 
 
 class Catalog:
@@ -121,8 +132,10 @@ class Catalog:
                 entry = out.add_table(t["name"], schema, t["version"], t["path"])
                 entry.batches, entry.gone, entry.n_gone, entry.next_rid = list(t["batches"]), list(t["gone"]), int(t["n_gone"]), int(t["next_rid"])
                 entry.streams = {str(k): int(v) for k, v in t.get("streams", {}).items()}
+                entry.counts, entry.replaced = [int(n) for n in t.get("counts", [])], list(t.get("replaced", []))
             for i in raw["indexes"]:
-                out.register_index(i["name"], i["table"], i["column"], list(i["batches"])).stored = bool(i["stored"])
+                made = out.register_index(i["name"], i["table"], i["column"], list(i["batches"]))
+                made.stored, made.source = bool(i["stored"]), i.get("source")
         except (ValueError, KeyError, TypeError, AttributeError) as e:
             raise CatalogCorruption(f"unreadable catalog: {e}") from e
         return out
@@ -155,12 +168,33 @@ class Folder:
         finally:
             stream.close()
 
+    def write(self, name: str, data: bytes) -> None:
+        stream = self.fs.create(self._at(name), True)
+        try:
+            stream.write(bytearray(data))
+        finally:
+            stream.close()
+
+    def write_rows(self, name: str, rows: pa.Table) -> None:
+        """A Parquet folder of rows that the driver holds, made without a job; it looks like one of Spark's."""
+        held = io.BytesIO()
+        pq.write_table(rows, held, compression="snappy")
+        self.write(f"{name}/part-00000.snappy.parquet", held.getvalue())
+        self.write(f"{name}/_SUCCESS", b"")
+
+    def marks(self, paths: Sequence[str]) -> str:
+        """Names, lengths and times of files, as one string that differs once any of them was written anew."""
+        out = []
+        for p in sorted(paths):
+            at = self.jvm.org.apache.hadoop.fs.Path(p)
+            s = at.getFileSystem(self.conf).getFileStatus(at)
+            out.append(f"{p} {s.getLen()} {s.getModificationTime()}")
+        return hashlib.sha256("\n".join(out).encode()).hexdigest()
+
     def replace(self, name: str, text: str) -> None:
         """Writes beside the file and renames onto it, so readers see the old or the new one."""
         beside = self._at(f".{name}.new")
-        stream = self.fs.create(beside, True)
-        stream.write(bytearray(text.encode("utf-8")))
-        stream.close()
+        self.write(f".{name}.new", text.encode("utf-8"))
         fc = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at("").toUri() if ":" in self.path else self.jvm.java.net.URI("file:///"), self.conf)
         options = self.jvm.java.lang.reflect.Array.newInstance(self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
         options[0] = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
