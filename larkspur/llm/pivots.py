@@ -6,13 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, latest
 
-#: Pivots, and rings around each; the table of their products is all that is broadcast.
-PIVOTS, RINGS = 24, 16
+#: Pivots at least and at most, in between an eighth of the square root of the rows; rings around each. The table of the pivots'
+#: products with a batch of vectors is all that is sent, so the most bounds it.
+PIVOTS, RINGS = (24, 1024), 16
+#: Queries and rows that meet in one task's product at most.
+BLOCK = 4096
+#: By how much more rows each round opens than the one before.
+WIDER = 16
 #: Rows the pivots are fitted on, those with the smallest hash of their id.
 SAMPLE = 4096
 #: Steps of the vectors' whole numbers.
@@ -25,7 +30,8 @@ def whole(vectors: DataFrame, id_col: str, vector: str, scale: int = SCALE) -> D
     """(id, v): floor(scale * x) of each component as a double; rows that are null, or hold null, NaN or infinity, are left out."""
     x = F.transform(F.col(vector), lambda c: c.cast("double"))
     fine = F.col(vector).isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return vectors.where(fine & F.col(id_col).isNotNull()).select(
+    # an empty vector has no components to multiply
+    return vectors.where(fine & (F.size(vector) > 0) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * scale).cast("double")).alias("v"))
 
 
@@ -51,21 +57,32 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS, rings: int = RINGS, sample: int = SAMPLE) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, pivots: int | None = None, rings: int = RINGS, sample: int = SAMPLE,
+          block: int = BLOCK, log: dict | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of (id, v) of greatest inner product with each query (id, v), exactly.
 
     Scores are whole numbers; ties go to the smaller id; a query is no candidate of its own. Fewer rows give fewer
-    results; empty tables none. Rows that repeat an id count each. All vectors must have one length.
-
-    Every row is keyed by its nearest pivot and its ring of distance. A query first opens the annuli nearest to it until
-    they hold 4 k rows, then every annulus that the triangle inequality does not rule out against its k-th score so
-    far. Annuli are split by a hash of the id into blocks of even size, however many rows share a vector.
+    results; empty tables none. Rows that repeat an id count each. Vectors, and queries, of another length than most
+    (of lengths as frequent, the greatest) take no part, since they have no product with the others. ValueError if a square of
+    a vector's length passes 2^53, beyond which scores would be inexact.
+
+    Every row is keyed by its nearest pivot and its ring of distance. A query opens the annuli by falling bound: those that
+    hold its first 4 k rows, then in each round WIDER times as many, as long as the triangle inequality does not rule them
+    out against its k-th score so far. Rows and queries of an annulus are dealt by hashes of their ids into blocks of at
+    most about `block`, so that no task holds more, however many share an annulus. log: gets the pairs scored, those there are, and the rounds.
     """
-    vectors = cut(vectors)
-    width, top, n = vectors.agg(F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)), F.count("*")).first()
     spark = vectors.sparkSession
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    nothing = "query_id long, rank int, vec_id long, score long"
+    width = vectors.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), F.desc("w")).first()
+    if width is None:
+        return spark.createDataFrame([], nothing)
+    width = width["w"]
+    vectors, queries = cut(vectors.where(F.size("v") == width)), cut(queries.where(F.size("v") == width).select("id", "v"))
+    top, n = vectors.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)), F.count("*")).first()
+    asked_of = queries.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)), F.count("*")).first()
+    if max(top, asked_of[0] or 0.0) > 2.0**53:
+        raise ValueError("scores of such long vectors pass 2^53 and would be inexact")
+    pivots = pivots or int(min(PIVOTS[1], max(PIVOTS[0], n**0.5 / 8)))
     rows = [r["v"] for r in vectors.orderBy(F.xxhash64("id"), "id").limit(sample).collect()]
     at = _fit(_lifted(np.array(rows, dtype=np.float64), top), pivots)
     span = 2 * np.sqrt(top) / rings + 1e-9
@@ -84,10 +101,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS,
     cells = sorted(held)
     counts, low, high = (np.array([held[c][i] for c in cells]) for i in range(3))
     owner = np.array(cells) // rings
-    per = int(min(4096, max(64, n // 2048)))
-    parts = {c: int(-(-held[c][0] // per)) for c in cells}
-    split = F.element_at(F.lit([parts.get(c, 1) for c in range(pivots * rings)]).cast("array<int>"), F.col("cell") + 1)
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), split).cast("int"))
+    per = int(min(block, max(64, n // 2048)))
+
+    def parts(sizes: dict[int, int], most: int) -> Column:
+        """In how many blocks an annulus of these sizes is dealt."""
+        return F.element_at(F.lit([max(1, -(-sizes.get(c, 0) // most)) for c in range(pivots * rings)]).cast("array<int>"), F.col("cell") + 1)
+
+    row_parts = parts({c: h[0] for c, h in held.items()}, per)
 
     def bounds(v: pd.Series) -> np.ndarray:
         """The greatest score that a row of each cell could have with each query."""
@@ -97,32 +117,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS,
         least = np.maximum(0.0, np.maximum(low[None] - d, d - high[None]) - _SLACK * (1 + d))
         return (norm[:, None] + top - least * least) / 2 + _SLACK * (1 + np.abs(norm[:, None] + top))
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            best = np.argsort(-bounds(b["v"]), axis=1, kind="stable")
-            need = (np.cumsum(counts[best], axis=1) - counts[best]) < 4 * k
-            yield opened(b, [row[take] for row, take in zip(best, need)])
-
-    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            hold = bounds(b["v"])
-            done = (np.cumsum(counts[np.argsort(-hold, axis=1, kind="stable")], axis=1) - counts[np.argsort(-hold, axis=1, kind="stable")]) < 4 * k
-            out = []
-            for i, bar in enumerate(b["bar"]):
-                seen = np.argsort(-hold[i], kind="stable")[done[i]]
-                may = np.ones(len(cells), dtype=bool) if pd.isna(bar) else hold[i] >= bar
-                may[seen] = False
-                out.append(np.flatnonzero(may))
-            yield opened(b, out)
-
-    def opened(b: pd.DataFrame, picks: list[np.ndarray]) -> pd.DataFrame:
-        who = np.repeat(np.arange(len(b)), [len(x) for x in picks])
-        which = np.concatenate(picks).astype(int) if picks else np.zeros(0, dtype=int)
-        cell = np.array(cells, dtype=np.int32)[which]
-        bar = b["bar"].to_numpy(dtype=float) if "bar" in b else np.full(len(b), np.nan)
-        return pd.DataFrame({"query_id": b["id"].to_numpy()[who], "q": pd.Series([b["v"].iloc[i] for i in who], dtype=object), "bar": np.nan_to_num(bar[who], nan=-np.inf), "cell": cell})
-
-    opening = "query_id long, q array<double>, bar double, cell int"
+    def opening(first: int, last: int):
+        """The annuli that hold the rows from `first` to `last` of a query's order, but for those its bar rules out."""
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                hold = bounds(b["v"])
+                best = np.argsort(-hold, axis=1, kind="stable")
+                before = np.cumsum(counts[best], axis=1) - counts[best]
+                bar = b["bar"].to_numpy(dtype=float)
+                bar = np.where(np.isnan(bar), -np.inf, bar)
+                some = (before >= first) & (before < last) & (np.take_along_axis(hold, best, 1) >= bar[:, None])
+                who, place = np.nonzero(some)
+                yield pd.DataFrame({"query_id": b["id"].to_numpy()[who], "q": pd.Series([b["v"].iloc[i] for i in who], dtype=object), "bar": bar[who],
+                                    "cell": np.array(cells, dtype=np.int32)[best[who, place]]})
+
+        return run
 
     def scored(rows_: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
@@ -141,21 +150,32 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS,
                     out["score"] += line[mine].astype(np.int64).tolist()
         return pd.DataFrame(out).astype("int64")
 
-    def search(asked: DataFrame) -> DataFrame:
-        asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), split - 1)))
-        got = placed.select("id", "v", "cell", "part").groupBy("cell", "part").cogroup(asked.groupBy("cell", "part"))
-        return got.applyInPandas(scored, "query_id long, vec_id long, score long")
-
     best = [F.col("score").desc(), F.col("vec_id")]
-    queries = cut(queries.select("id", "v"))
-    one = cut(search(queries.mapInPandas(first, opening)))
-    bars = latest(one, ["query_id"], best, k).where(F.col("rank") == k).select(F.col("query_id").alias("_q"), F.col("score").alias("bar"))
-    barred = queries.join(bars, queries["id"] == bars["_q"], "left").select("id", "v", F.col("bar").cast("double"))
-    two = search(barred.mapInPandas(rest, opening))
-    return latest(one.union(two), ["query_id"], best, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    bars, found, first, last, pairs, turns = queries.withColumn("bar", F.lit(None).cast("double")), None, 0, 4 * k, 0, 0
+    while first < n:
+        asked = cut(bars.mapInPandas(opening(first, last), "query_id long, q array<double>, bar double, cell int"))
+        opened = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}
+        pairs, turns = pairs + sum(m * held[c][0] for c, m in opened.items()), turns + 1
+        if opened:
+            asks = parts(opened, block)
+            left = placed.select("id", "v", "cell", F.pmod(F.xxhash64("id"), row_parts).cast("int").alias("part"),
+                                 F.explode(F.sequence(F.lit(0), asks - 1)).alias("ask"))
+            right = asked.select("*", F.pmod(F.xxhash64("query_id"), asks).cast("int").alias("ask"), F.explode(F.sequence(F.lit(0), row_parts - 1)).alias("part"))
+            keys = ["cell", "part", "ask"]
+            got = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scored, "query_id long, vec_id long, score long")
+            found = cut(latest(got if found is None else got.union(found.drop("rank")), ["query_id"], best, k))
+            kth = found.where(F.col("rank") == k).select(F.col("query_id").alias("_q"), F.col("score").cast("double").alias("bar"))
+            bars = queries.join(kth, queries["id"] == kth["_q"], "left").select("id", "v", "bar")
+        first, last = last, last * WIDER
+    if log is not None:
+        log.update(scored=pairs, pairs=n * asked_of[1], rounds=turns)
+    if found is None:
+        return spark.createDataFrame([], nothing)
+    return found.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 def op4_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all embeddings for each whose id is divisible by 100; see whole() and top_k()."""
     v = whole(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
     return top_k(v, v.where(F.col("id") % 100 == 0), 10)
 
