@@ -7,11 +7,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Insults that count as lexicon words whatever the labels say.
 INSULTS = "idiot stupid moron trash scum worthless pathetic loser clown disgusting dumb garbage imbecile filth vermin".split()
 #: Second-person words of English, German, French and Spanish.
@@ -203,30 +205,41 @@ class Model:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model of labelled rows (doc_id, toxic); `sample` bounds them. The most rows that reach the driver is `sample`."""
+    """The model of labelled rows (doc_id, toxic) that are 0 or 1; an id with both counts as toxic.
+
+    `sample` bounds them, and so the rows that reach the driver: of an id with several texts in `docs` the first by a hash of
+    the text is taken. Without rows, or with one label only, every text scores alike.
+    """
     rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    some = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select(
-        F.xxhash64("doc_id").alias("h"), "doc_id", "text", "toxic").toPandas().sort_values(["h", "doc_id"])
-    return Model([t or "" for t in got["text"]], got["toxic"].to_numpy(dtype=int))
+    some = cut(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+    got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    which = got.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("th"))
+    got = got.join(F.broadcast(cut(which)).withColumnRenamed("doc_id", "_id"), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("th")))
+    got = got.groupBy("doc_id", "toxic").agg(F.first("text").alias("text"))
+    rows = got.select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "toxic").orderBy("h", "doc_id").collect()
+    return Model([r["text"] or "" for r in rows], np.array([r["toxic"] for r in rows], dtype=int))
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """(doc_id, score, predicted) of every row; null texts score as empty ones, repeated rows alike."""
+    """(doc_id, score, predicted) of every row; null texts score as empty ones, repeated rows alike. Ids, null ones
+    too, pass as they are, and further columns play no part. An empty table gives no rows.
+    """
     spark = docs.sparkSession
     # lexica of LEXICON entries and trees of fixed depth, with their code
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = cloudpickle.loads(sent.value)
         for b in batches:
-            s = ready.scores(b["text"].tolist())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": s, "predicted": (s >= threshold).astype("int32")})
+            s = ready.scores([x.as_py() for x in b.column(1)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by a model of the labels that are not held out; see fitted() and scored()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
