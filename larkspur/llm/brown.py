@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from .common import cut, stored
 
 #: Classes that exchange words; words of highest count that do; words whose counts are sent to every executor (some 15 MB).
-CLASSES, HEAD, KNOWN = 64, 8192, 1 << 17
-#: Rounds of exchange; in each one half of the words, by turns, may move.
-ROUNDS = 8
+CLASSES, HEAD, KNOWN = 64, 1 << 16, 1 << 17
+#: Rounds of exchange at most; in each a part of the words, by turns, may move. Rounds end once all parts together have gained less
+#: than this share of the log-likelihood.
+ROUNDS, GAIN = 40, 0.001
 #: All other words fall into fixed classes by shape: last character, whether all ASCII, whether over ten bytes.
 SHAPES = 12
 _FLUSH = 400_000
@@ -149,63 +150,101 @@ def _phi(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
+def likelihood(table: np.ndarray) -> float:
+    """The log-likelihood of class bigrams but for what the words' own counts add, which no class changes."""
+    return float(_phi(table).sum() - _phi(table.sum(1)).sum() - _phi(table.sum(0)).sum())
+
+
 def moves(left: np.ndarray, right: np.ndarray, twice: np.ndarray, own: np.ndarray, n: np.ndarray, table: np.ndarray, free: int) -> np.ndarray:
     """The class of greatest likelihood for each word, all others staying.
 
     left[w, c]: tokens of class c before w; right[w, c]: after it; twice: how often w follows itself; own: its class. A word is
     taken out of its class's row and column, and the change of sum of phi(N[c, d]) - 2 sum of phi(N[c]) is formed for
-    every class it might enter.
+    every class it might enter. Only the columns and rows that the word has tokens in can change.
     """
-    best, at = own.copy(), np.arange(free)
+    best, size, diagonal = own.copy(), table.sum(1)[:free], table.diagonal()[:free]
     for w in range(len(own)):
-        t, a = table.copy(), own[w]
+        a, t = own[w], twice[w]
         after, before = right[w].copy(), left[w].copy()
-        after[a] -= twice[w]
-        before[a] -= twice[w]
-        t[a] -= after
-        t[:, a] -= before
-        t[a, a] -= twice[w]
-        size = t.sum(1)
-        rows, cols = t[:free], t[:, :free].T
-        row, col = _phi(rows + after) - _phi(rows), _phi(cols + before) - _phi(cols)
-        same = t[at, at]
-        gain = row.sum(1) + col.sum(1) - row[at, at] - col[at, at] + _phi(same + after[:free] + before[:free] + twice[w]) - _phi(same)
-        gain -= 2 * (_phi(size[:free] + n[w]) - _phi(size[:free]))
+        after[a] -= t
+        before[a] -= t
+        d, e = np.flatnonzero(after), np.flatnonzero(before)
+        rows, cols = table[:free, d], table[e, :free]
+        rows[a] -= after[d]
+        cols[:, a] -= before[e]
+        if after[a]:
+            i = np.searchsorted(d, a)
+            rows[:, i] -= before[:free]
+            rows[a, i] -= t
+        if before[a]:
+            i = np.searchsorted(e, a)
+            cols[i] -= after[:free]
+            cols[i, a] -= t
+        row, col = _phi(rows + after[d]) - _phi(rows), _phi(cols + before[e][:, None]) - _phi(cols)
+        gain = row.sum(1) + col.sum(0)
+        d, e = d[d < free], e[e < free]
+        gain[d] -= row[d, np.arange(len(d))]
+        gain[e] -= col[np.arange(len(e)), e]
+        same, held = diagonal.copy(), size.copy()
+        same[a] -= after[a] + before[a] + t
+        held[a] -= n[w]
+        gain += _phi(same + after[:free] + before[:free] + t) - _phi(same) - 2 * (_phi(held + n[w]) - _phi(held))
         best[w] = int(gain.argmax()) if gain.max() > gain[a] + 1e-9 else a
     return best
 
 
-def exchange(pairs: DataFrame, symbols: Symbols, rounds: int = ROUNDS, wanted: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
+def exchange(pairs: DataFrame, symbols: Symbols, rounds: int = ROUNDS, wanted: int = CLASSES, log: list[float] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(class of each symbol, table of class bigrams).
 
     Words start in classes by rank. In every round the tasks, each holding all pairs of its words, find the best class
-    of half of the words against the same table; the driver gets one row per head word, HEAD at most.
+    of a part of the words, half of them at first, against the same table; the driver gets one row per head word, HEAD at most.
+    As the words of a part move at once, they can lower the likelihood together; then they go back, and from there on parts
+    are half as large. log: gets the likelihood at the start and after each round that is kept.
     """
     free = max(1, min(wanted, symbols.head))
     total = free + 1 + SHAPES
     classes = np.concatenate((free + np.arange(1 + SHAPES), np.arange(symbols.head) % free)).astype(np.int64)
-    if symbols.head:
-        both = pairs.select(F.col("a").alias("w"), F.col("b").alias("o"), F.lit(1).alias("side"), "n").union(
-            pairs.select(F.col("b").alias("w"), F.col("a").alias("o"), F.lit(0).alias("side"), "n"))
-        at_words = cut(both.where(F.col("w") > SHAPES).repartition("w"))
-    for turn in range(rounds if symbols.head else 0):
-        table = _class_pairs(pairs, classes, total)
-
-        def run(batches: Iterator[pa.RecordBatch], classes=classes, table=table, turn=turn) -> Iterator[pa.RecordBatch]:
-            parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(4)] for b in batches]
-            w, o, side, n = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(4))
+    table = _class_pairs(pairs, classes, total)
+    log = [] if log is None else log
+    log.append(likelihood(table))
+    if not symbols.head:
+        return classes, table
+    both = pairs.select(F.col("a").alias("w"), F.col("b").alias("o"), F.lit(1).cast("byte").alias("side"), "n").union(
+        pairs.select(F.col("b").alias("w"), F.col("a").alias("o"), F.lit(0).cast("byte").alias("side"), "n"))
+    at_words = cut(both.where(F.col("w") > SHAPES).repartition("w"))
+    parts, turn, gained = 2, 0, []
+    for _ in range(rounds):
+        def run(batches: Iterator[pa.RecordBatch], classes=classes, table=table, turn=turn, parts=parts) -> Iterator[pa.RecordBatch]:
+            held = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(4)] for b in batches]
+            held = [[c[m] for c in b] for b in held for m in [b[0] % parts == turn]]
+            w, o, side, n = (np.concatenate([p[i] for p in held]) if held else np.zeros(0, np.int64) for i in range(4))
             ids, at = np.unique(w, return_inverse=True)
-            t = np.bincount((at * 2 + side) * total + classes[o], n, len(ids) * 2 * total).reshape(len(ids), 2, total)
-            mine = ids % 2 == turn % 2
-            t = t[mine]
-            twice = np.bincount(at, n * ((w == o) & (side == 1)), len(ids))[mine]
-            best = moves(t[:, 0], t[:, 1], twice, classes[ids[mine]], t[:, 1].sum(1), table, free)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[mine].astype(np.int64)), pa.array(best)], ["w", "c"])
-
-        classes = classes.copy()
-        for r in at_words.mapInArrow(run, "w long, c long").collect():
-            classes[r["w"]] = r["c"]
-    return classes, _class_pairs(pairs, classes, total)
+            for first in range(0, len(ids), 2048):  # so many rows of the dense table at a time
+                mine = (at >= first) & (at < first + 2048)
+                k = ids[first:first + 2048]
+                here = at[mine] - first
+                t = np.bincount((here * 2 + side[mine]) * total + classes[o[mine]], n[mine], len(k) * 2 * total).reshape(len(k), 2, total)
+                twice = np.bincount(here, n[mine] * ((w[mine] == o[mine]) & (side[mine] == 1)), len(k))
+                best = moves(t[:, 0], t[:, 1], twice, classes[k], t[:, 1].sum(1), table, free)
+                yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(best)], ["w", "c"])
+
+        new = classes.copy()
+        got = at_words.mapInArrow(run, "w long, c long").toPandas()
+        new[got["w"].to_numpy()] = got["c"].to_numpy()
+        new_table = _class_pairs(pairs, new, total)
+        up = likelihood(new_table) - log[-1]
+        if up < 0:
+            parts *= 2
+            if parts > 64:
+                break
+            turn, gained = turn % parts, []
+            continue
+        classes, table = new, new_table
+        log.append(log[-1] + up)
+        gained, turn = [*gained, up][-parts:], (turn + 1) % parts
+        if len(gained) == parts and sum(gained) < GAIN * abs(log[-1]):
+            break
+    return classes, table
 
 
 def transitions(table: np.ndarray, weight: float = 10.0) -> np.ndarray:
@@ -216,12 +255,13 @@ def transitions(table: np.ndarray, weight: float = 10.0) -> np.ndarray:
 
 
 def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row with id, n_tokens, n_known, train_tokens, base_score and score (log10), learnt from the rows where `train`.
+    """Every row with id, n_tokens, n_known, train_tokens, base_score, score (log10) and perplexity, learnt from the rows where `train`.
 
     The model's probability of a token is P(its class | class before) * P(token | class). A head word's class was found by
     exchange; other words have their shape's class, in which the share of words seen once is kept for unknown words,
     of which there are taken to be as many kinds, and one more. An end is a class of its own and also stands before the first word. Null and empty texts are one end. Rows that
-    repeat are scored alike. Without training rows all counts are 0 and classes are equally likely.
+    repeat are scored alike, null ids too; very long texts are scored whole; ties in count go by the word. Without training rows all
+    counts are 0 and classes are equally likely. An empty table gives no rows; further columns play no part.
     """
     spark = docs.sparkSession
     taught = docs.where(train)
@@ -291,11 +331,13 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "
         return F.col(a) + F.coalesce(F.col(b), F.lit(0))
 
     return got.select(F.col("id").alias(id_col), "n_tokens", plus("n_known", "_known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-                      plus("base", "_base").alias("base_score"), plus("model", "_model").alias("score"))
+                      plus("base", "_base").alias("base_score"), plus("model", "_model").alias("score")).withColumn(
+        "perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
 def op1_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by a model of those that are not held out; see scored()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
     got = scored(docs, ~out)
-    return got.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return got.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
