@@ -151,8 +151,8 @@ def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     which come back as they are whatever their names. Null texts and such without words are near copies of one another. An
     empty table stays empty.
 
-    Groups are components under Jaccard similarity of 0.8 or more on 5-word shingles; SimHash anchors propose pairs and a
-    prefix filter those beyond their reach; see near_copies().
+    Groups are components under Jaccard similarity of 0.8 or more on 5-word shingles; SimHash anchors propose pairs and
+    MinHash bands those beyond their reach; see near_copies().
     """
     from .jaccard import near_copies  # which itself builds on this module
 
