@@ -261,33 +261,32 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS,
     Lines of at least `least` characters form classes: components under links of at most `edits` edits. Shorter lines are
     a class with their exact copies if `short`, else stay; those of blanks alone always stay. Of each class the line stays
     that comes first by (id, place); all others go. Ids are whole numbers; rows without one count as the first. Lines
-    are known by 128 bits: two lines of one key are found by their tags and get keys of their own. Rows that repeat id and
+    are known by 64 bits, and two lines of one key are found by 64 bits more and keyed anew. Rows that repeat id and
     text share a decision. Null texts have no lines, very long ones are split whole, an empty table gives no rows.
     """
-    every = _lines(docs, id_col, text).where((F.length("line") >= least) | (F.lit(short) & (trimmed("line") != "")))
-    every = every.select("*", _key("line").alias("id"), _tag("line").alias("tag"), (F.length("line") >= least).alias("long"))
+    every = _lines(docs, id_col, text).where((F.length("line") >= least) | (F.lit(short) & (trimmed("line") != ""))).withColumn("id", _key("line"))
+
+    def distinct(rows: DataFrame) -> DataFrame:
+        tag = _tag("line")
+        return stored(rows.groupBy("id").agg(F.first("line").alias("line"), F.min(tag).alias("_lo"), F.max(tag).alias("_hi")))
+
+    lines = distinct(every)
+    twins = cut(lines.where("_lo <> _hi").select("id", F.lit(True).alias("_twin")))
+    if twins.limit(1).count():  # two lines of one key: as good as never, and then these are keyed anew by both hashes
+        new = F.when(F.col("_twin"), F.xxhash64("id", _tag("line"))).otherwise(F.col("id"))
+        every = joined_small(every, twins, "id", "left").withColumn("id", new).drop("_twin")
+        lines = distinct(every)
     spot = F.coalesce("doc", F.lit("-1" + "0" * 19).cast("decimal(20,0)")).cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(12,0)") + F.col("no")
-    spots = stored(every.select("doc", "th", "no", "id", "tag", "long", spot.cast("decimal(38,0)").alias("spot")))
-    lines = stored(every.where("long").groupBy("id", "tag").agg(F.first("line").alias("line")))
-    twins = cut(lines.groupBy("id").agg(F.count("*").alias("_k")).where("_k > 1").select("id", F.lit(True).alias("_twin")))
-    some = twins.limit(1).count() > 0  # two lines of one key among the long ones: as good as never
-
-    def node(df: DataFrame) -> DataFrame:
-        if not some:
-            return df.withColumn("node", F.col("id"))
-        return joined_small(df, twins, "id", "left").withColumn("node", F.when(F.col("_twin"), F.xxhash64("id", "tag")).otherwise(F.col("id"))).drop("_twin")
-
-    lines = node(lines).select(F.col("node").alias("id"), "line")
-    firsts = spots.groupBy("id", "tag").agg(F.min("spot").alias("first"), F.count("*").alias("n"), F.first("long").alias("long"))
+    spots = stored(every.select("doc", "th", "no", "id", spot.cast("decimal(38,0)").alias("spot")))
+    lines = lines.where(F.length("line") >= least).select("id", "line")
+    firsts = spots.groupBy("id").agg(F.min("spot").alias("first"), F.count("*").alias("n"))
     edges = cut(_measured(candidates(lines, edits), lines, edits))
     roots = cut(components(edges))
-    firsts = node(firsts)
-    at = firsts.join(roots.withColumnRenamed("node", "_of"), F.col("long") & (F.col("node") == F.col("_of")), "left")
-    at = at.where("n > 1 or root is not null").select("id", "tag", "first", F.coalesce("root", "id").alias("root"), F.when(F.col("root").isNull(), F.col("tag")).alias("alone"))
-    at = cut(at)
-    stay = at.groupBy("root", "alone").agg(F.min("first").alias("stay")).withColumnsRenamed({"root": "_root", "alone": "_alone"})
-    at = cut(at.join(stay, (F.col("root") == F.col("_root")) & F.col("alone").eqNullSafe(F.col("_alone"))).select("id", "tag", "stay"))
-    gone = joined_small(spots.drop("long"), at, ["id", "tag"]).where("spot <> stay")
+    at = firsts.join(roots.withColumnRenamed("node", "id"), "id", "left")
+    at = cut(at.where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "id")))
+    stay = at.groupBy("root").agg(F.min("first").alias("stay"))
+    at = cut(at.join(stay, "root").select("id", "stay"))
+    gone = joined_small(spots, at, "id").where("spot <> stay")
     return gone.groupBy("doc", "th").agg(F.collect_set("no").alias("drop"))
 
 
