@@ -35,54 +35,42 @@ def _size(text: str) -> Column:
     return F.shiftright(F.length(text), 2)
 
 
-def _entries(cases: list[tuple[int, int, int]], edits: int, only: Column | None, rest: bool, probe: bool) -> Column:
-    """One struct (sig, and gap of a probe, and rest) for each case (gap, segment, shift) that fits `s`.
+def _entries(level: DataFrame, cases: list[tuple[int, int, int]], edits: int, rest: bool, probe: bool, only: str | None = None) -> DataFrame:
+    """(id, sig, and gap of a probe or n, and rest) of each row (id, key, s) for each case (gap, segment, shift) that fits it.
 
-    The cases are a table that small expressions run over step by step: each value is computed once, and the JVM compiles
-    them, as it does not the large method that one expression per case would make.
+    The cases are a literal table that rows are multiplied with, so that all that follows is plain projection, which
+    Spark compiles whole. only: the column with the one gap that counts for a row.
     """
     k = edits + 1
-    table = F.array(*[F.struct(F.lit(g).alias("gap"), F.lit(i).alias("i"), F.lit(o).alias("off")) for g, i, o in cases])
-
-    def place(c: Column) -> Column:
-        base = F.get("_base", c["gap"])
-        late = F.get("_more", c["gap"]) + c["i"]  # of the longer segments, which come last, how many precede i
-        return F.struct(c["gap"].alias("gap"), c["i"].alias("i"), (base * c["i"] + F.greatest(late, F.lit(0)) + c["off"]).alias("start"),
-                        F.when(late >= 0, base + 1).otherwise(base).alias("w"))
-
-    def fits(c: Column) -> Column:
-        return (c["start"] >= 0) & (c["start"] + c["w"] <= F.col("_n")) & (F.col("_n") > c["gap"])
-
-    def entry(c: Column) -> Column:
-        n = F.col("_n") - c["gap"]
-        sig = F.xxhash64(F.col("key"), n, c["i"], _piece(F.col("s"), c["start"], c["w"])).alias("sig")
-        return F.struct(sig, (c["gap"] if probe else n).alias("gap" if probe else "n"), *[_without(F.col("s"), c["start"], c["w"]).alias("rest")] * rest)
-
-    at = F.filter(table, lambda c: c["gap"] == only) if only is not None else table
-    return F.transform(F.filter(F.transform(at, place), fits), entry)
-
-
-def _ready(level: DataFrame, edits: int) -> DataFrame:
-    """With the sizes that _entries() reads: of each gap the segments' length, and how many are longer, less their number."""
-    n, k = _size("s"), edits + 1
-    base = [F.call_function("div", n - g, F.lit(k)).cast("int") for g in range(k)]
-    return level.withColumns({"_n": n, "_base": F.array(*base), "_more": F.array(*[(n - g) - b * k - k for g, b in enumerate(base)])})
-
-
-def _indexed(edits: int, rest: bool) -> Column:
+    table = F.array(*[F.struct(F.lit(g).alias("_gap"), F.lit(i).alias("_i"), F.lit(o).alias("_off")) for g, i, o in cases])
+    at = level.select("id", "key", "s", _size("s").alias("_n"), *[only] * bool(only), F.inline(table))
+    if only:
+        at = at.where(F.col("_gap") == F.col(only))
+    n = F.col("_n") - F.col("_gap")
+    base = F.call_function("div", n, F.lit(k)).cast("int")
+    late = n - base * k - k + F.col("_i")  # of the longer segments, which come last, how many precede this one
+    at = at.select("id", "key", "s", "_n", "_gap", "_i", (base * F.col("_i") + F.greatest(late, F.lit(0)) + F.col("_off")).alias("_start"),
+                   (base + (late >= 0).cast("int")).alias("_w"))
+    at = at.where((F.col("_start") >= 0) & (F.col("_start") + F.col("_w") <= F.col("_n")) & (F.col("_n") > F.col("_gap")))
+    sig = F.xxhash64("key", F.col("_n") - F.col("_gap"), "_i", _piece(F.col("s"), F.col("_start"), F.col("_w")))
+    left = [_without(F.col("s"), F.col("_start"), F.col("_w")).alias("rest")] * rest
+    return at.select("id", sig.alias("sig"), F.col("_gap").alias("gap") if probe else F.col("_n").alias("n"), *left)
+
+
+def _indexed(level: DataFrame, edits: int, rest: bool) -> DataFrame:
     """The index entries of `s`: one signature per segment, of the segment's place, the length of s and `key`."""
-    return _entries([(0, i, 0) for i in range(edits + 1)], edits, None, rest, False)
+    return _entries(level, [(0, i, 0) for i in range(edits + 1)], edits, rest, False)
 
 
-def _probed(edits: int, gaps: Column | None, rest: bool) -> Column:
+def _probed(level: DataFrame, edits: int, rest: bool, only: str | None = None) -> DataFrame:
     """The probes of `s` for texts shorter by 0 to `edits` characters: the substrings that can meet segment i.
 
     With i segments before it holding at most i edits, and the others at most edits - i (Li et al. 2011), the start is within i
-    of the segment's place, and within edits - i of that place moved by the gap. gaps: the one gap to probe, else all.
+    of the segment's place, and within edits - i of that place moved by the gap. only: the column of the one gap to probe, else all.
     """
     cases = [(gap, i, off) for gap in range(edits + 1) for i in range(edits + 1)
              for off in range(max(-i, gap - (edits - i)), min(i, gap + (edits - i)) + 1)]
-    return _entries(cases, edits, gaps, rest, True)
+    return _entries(level, cases, edits, rest, True, only)
 
 
 def _met(index: DataFrame, probe: DataFrame, edits: int) -> DataFrame:
@@ -108,9 +96,8 @@ def candidates(lines: DataFrame, edits: int = EDITS, crowded: int = CROWDED, ref
     """
     # UTF-32 gives every character four bytes, so that a substring is found without reading what is before it
     level = lines.select(F.lit(0).cast("long").alias("key"), "id", F.encode("line", "UTF-32").alias("s"))
-    level = _ready(level, edits)
-    index = stored(level.select("id", F.inline(_indexed(edits, False))))
-    probe = level.select("id", F.inline(_probed(edits, None, False)))
+    index = stored(_indexed(level, edits, False))
+    probe = _probed(level, edits, False)
     found: DataFrame | None = None
     while True:
         hot = cut(index.groupBy("sig").agg(F.count("*").alias("_k"), F.min("n").alias("_n")).where(F.col("_k") > (refined if "rest" in index.columns else crowded)).select("sig", "_n"))
@@ -126,13 +113,13 @@ def candidates(lines: DataFrame, edits: int = EDITS, crowded: int = CROWDED, ref
         if "rest" not in index.columns:
             # only lines of the crowds' lengths can be among them
             some_lines = joined_small(lines.withColumn("_n", F.length("line")), cut(sizes), "_n", "left_semi").drop("_n")
-            some_lines = _ready(some_lines.select(F.lit(0).cast("long").alias("key"), "id", F.encode("line", "UTF-32").alias("s")), edits)
-            who_i = joined_small(some_lines.select("id", F.inline(_indexed(edits, False))), hot, "sig", "left_semi")
-            who_p = joined_small(some_lines.select("id", F.inline(_probed(edits, None, False))), hot, "sig", "left_semi")
+            some_lines = some_lines.select(F.lit(0).cast("long").alias("key"), "id", F.encode("line", "UTF-32").alias("s"))
+            who_i = joined_small(_indexed(some_lines, edits, False), hot, "sig", "left_semi")
+            who_p = joined_small(_probed(some_lines, edits, False), hot, "sig", "left_semi")
             ids = cut(who_i.select("id").union(who_p.select("id")).distinct())
             text = cut(joined_small(level, ids, "id", "left_semi", IDS))
-            index = joined_small(text.select("id", F.inline(_indexed(edits, True))), hot, "sig", "left_semi")
-            probe = joined_small(text.select("id", F.inline(_probed(edits, None, True))), hot, "sig", "left_semi")
+            index = joined_small(_indexed(text, edits, True), hot, "sig", "left_semi")
+            probe = joined_small(_probed(text, edits, True), hot, "sig", "left_semi")
         else:
             index, probe = (joined_small(x, hot, "sig", "left_semi") for x in (index, probe))
         index, probe = cut(index), cut(probe)
@@ -143,8 +130,8 @@ def candidates(lines: DataFrame, edits: int = EDITS, crowded: int = CROWDED, ref
         found = cut(found.union(stars))
         one = index.where(_size("rest") > edits).select("id", F.col("sig").alias("key"), F.col("rest").alias("s"))
         two = probe.where(_size("rest") > edits).select("id", F.col("sig").alias("key"), F.col("rest").alias("s"), F.col("gap").alias("_g"))
-        index = cut(_ready(one, edits).select("id", F.inline(_indexed(edits, True))))
-        probe = cut(_ready(two, edits).select("id", F.inline(_probed(edits, F.col("_g"), True))))
+        index = cut(_indexed(one, edits, True))
+        probe = cut(_probed(two, edits, True, "_g"))
 
 
 def _let(value: Column, use) -> Column:
@@ -294,10 +281,12 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, i
                 short: bool = False) -> DataFrame:
     """The rows of `docs` with the repeated lines taken out of `text`; see dropped_lines(). Null texts stay null."""
     gone = cut(dropped_lines(docs, edits, least, id_col, text, short).withColumnsRenamed({"doc": "_doc", "th": "_th", "drop": "_drop"}))
-    same = F.col(id_col).cast("decimal(20,0)").eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_th"))
-    at = docs.join(gone, same, "left")  # by shuffle at every size: the lists have no bound
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_drop", i)), "\n")
-    return at.select(*[F.when(F.col("_drop").isNull(), F.col(text)).otherwise(left).alias(c) if c == text else F.col(c) for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # one column, so that no name clashes
+    at = docs.select(row.alias("_row"), F.col(id_col).cast("decimal(20,0)").alias("_id"), F.xxhash64(text).alias("_text"))
+    at = at.join(gone, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_th")), "left")  # by shuffle at every size: the lists have no bound
+    whole = F.col("_row")[text]
+    left = F.array_join(F.filter(F.split(whole, "\n"), lambda x, i: ~F.array_contains("_drop", i)), "\n")
+    return at.select(*[F.when(F.col("_drop").isNull(), whole).otherwise(left).alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
