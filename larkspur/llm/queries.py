@@ -18,4 +18,4 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_packing": packing.SQL, "op3_sharding": sharding.SQL, "op4_pivots": pivots.SQL, "op5_rules": rules.SQL,
-                              "op7_licenses": licenses.SQL, "op9_linededup": linededup.SQL}
+                              "op7_licenses": licenses.SQL, "op9_linededup": linededup.SQL, "op10_simhash": simhash.SQL}

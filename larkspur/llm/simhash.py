@@ -14,6 +14,8 @@ from .common import components, cut, joined_small
 
 #: Shingles hashed at a time, so that one very long text needs no more memory than this.
 _BLOCK = 1 << 15
+#: Fingerprints of one anchor up to which all meet.
+CROWDED = 64
 #: Rows up to which hashes of rows are broadcast (some 15 MB); beyond it rows are shuffled to them.
 IDS = 400_000
 
@@ -104,8 +106,12 @@ def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(who), np.concatenate(which).view(np.int64)
 
 
-def near_pairs(fps: DataFrame, bits: int = 2) -> DataFrame:
-    """Pairs (a < b as signed longs) of distinct fingerprints `fp` that differ in at most `bits` (0 to 2) bits."""
+def near_pairs(fps: DataFrame, bits: int = 2, crowded: int = CROWDED) -> DataFrame:
+    """Pairs (a < b as signed longs) of distinct fingerprints `fp` that differ in at most `bits` (0 to 2) bits.
+
+    At an anchor of more than `crowded` fingerprints only those meet that agree on one of bits + 1 blocks, as any two within
+    `bits` do.
+    """
     if not 0 <= bits <= 2:
         raise ValueError("the covering code serves thresholds of 0 to 2 bits")
 
@@ -115,10 +121,20 @@ def near_pairs(fps: DataFrame, bits: int = 2) -> DataFrame:
             who, which = anchors(f.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(f[who])], ["anchor", "fp"])
 
+    def met(sent: DataFrame, keys: list[str]) -> DataFrame:
+        left, right = sent.withColumnRenamed("fp", "a"), sent.withColumnRenamed("fp", "b")
+        close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
+        return left.join(right, keys).where(close).select("a", "b")
+
     sent = fps.mapInArrow(run, "anchor long, fp long")
-    left, right = sent.select("anchor", F.col("fp").alias("a")), sent.select("anchor", F.col("fp").alias("b"))
-    close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
-    return left.join(right, "anchor").where(close).select("a", "b").distinct()
+    hot = cut(sent.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > crowded).select("anchor"))
+    if not hot.limit(1).count():
+        return met(sent, ["anchor"]).distinct()
+    width = 64 // (bits + 1) + 1
+    blocks = F.array(*[F.struct(F.lit(i).alias("i"), F.call_function("shiftrightunsigned", F.col("fp"), F.lit(width * i)).bitwiseAND(F.lit((1 << width) - 1)).alias("block"))
+                       for i in range(bits + 1)]) if bits else F.array(F.struct(F.lit(0).alias("i"), F.col("fp").alias("block")))
+    split = joined_small(sent, hot, "anchor", "left_semi").select("anchor", "fp", F.inline(blocks))
+    return met(joined_small(sent, hot, "anchor", "left_anti"), ["anchor"]).union(met(split, ["anchor", "i", "block"])).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, bits: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -165,3 +181,69 @@ def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     at = joined_small(at, near_copies(docs.select("text")), "th").select("root", "least.*")
     kept = cut(at.groupBy("root").agg(least).select("least._h1", "least._h2"))
     return joined_small(keyed, kept, ["_h1", "_h2"], "left_semi", IDS).dropDuplicates(["_h1", "_h2"]).select("_row.*")
+
+
+#: The primes of XXH64.
+_PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+
+
+def _sql(width: int = 3, bits: int = 2, seed: int = 42) -> str:
+    """The same with XXH64 written out in 128-bit whole numbers, and all pairs of distinct fingerprints."""
+    p1, p2, p3, p4, p5 = (f"{p}::UHUGEINT" for p in _PRIMES)
+    whole = f"{1 << 64}::UHUGEINT"
+
+    def kept(x: str) -> str:
+        return f"(({x}) % {whole})::UBIGINT"
+
+    def times(a: str, b: str) -> str:
+        return kept(f"({a})::UHUGEINT * {b}")
+
+    def plus(a: str, b: str) -> str:
+        return kept(f"({a})::UHUGEINT + {b}")
+
+    def turned(x: str, by: int) -> str:
+        return f"({kept(f'({x})::UHUGEINT * {1 << by}::UHUGEINT')} | (({x}) >> {64 - by}))"
+
+    def lane(at: str, n: int) -> str:
+        """The number in n bytes of x from a place, least byte first."""
+        return "('0x' || " + " || ".join(f"substr(x, (2 * ({at}) + {2 * i + 1})::INT, 2)" for i in reversed(range(n))) + ")::UBIGINT"
+
+    def mixed_in(h: str, k: str, by: int, p: str, q: str | None) -> str:
+        got = times(turned(f"xor({h}, {k})", by), p)
+        return plus(got, q) if q else got
+
+    first = [(seed + _PRIMES[0] + _PRIMES[1]) % (1 << 64), (seed + _PRIMES[1]) % (1 << 64), seed, (seed - _PRIMES[0]) % (1 << 64)]
+    sums = ", ".join(f"list_reduce(list_transform(range(n // 32), lambda i: {times(lane(f'32 * i + {8 * j}', 8), p2)}), lambda a, k: "
+                     f"{times(turned(plus('a', 'k::UHUGEINT'), 31), p1)}, {v}::UBIGINT) AS v{j}" for j, v in enumerate(first))
+    joined = " + ".join(f"{turned(f'v{j}', by)}::UHUGEINT" for j, by in enumerate((1, 7, 12, 18)))
+    steps = [f"g{j + 1} AS (SELECT *, {plus(times(f'xor(h{j}, {times(turned(times(f'v{j}', p2), 31), p1)})', p1), p4)} AS h{j + 1} FROM g{j})" for j in range(4)]
+    count = ", ".join(f"sum(c * ((h >> {b}) & 1)::BIGINT) AS b{b}" for b in range(64))
+    bit = " + ".join(f"(CASE WHEN 2 * b{b} > total THEN {1 << b}::UHUGEINT ELSE 0::UHUGEINT END)" for b in range(64))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+u AS (SELECT rid, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+s AS (SELECT rid, sh FROM (SELECT rid, n, i, concat_ws(' ', x{''.join(f', lead(x, {j}) OVER p' for j in range(1, width))}) AS sh FROM u WINDOW p AS (PARTITION BY rid ORDER BY i))
+      WHERE i <= greatest(n - {width - 1}, 1)),
+k AS (SELECT sh, hex(encode(sh)) AS x, octet_length(encode(sh)) AS n FROM (SELECT DISTINCT sh FROM s)),
+v AS (SELECT sh, x, n, {sums} FROM k WHERE n >= 32),
+g0 AS (SELECT sh, x, n, v0, v1, v2, v3, {kept(joined)} AS h0 FROM v),
+{', '.join(steps)},
+m AS (SELECT sh, x, n, {plus('h4', 'n::UHUGEINT')} AS h FROM g4 UNION ALL SELECT sh, x, n, {plus(f'{(seed + _PRIMES[4]) % (1 << 64)}::UBIGINT', 'n::UHUGEINT')} FROM k WHERE n < 32),
+e AS (SELECT sh, x, n, n // 8 * 8 AS pos, list_reduce(list_transform(range(n % 32 // 8), lambda i: {times(turned(times(lane('n // 32 * 32 + 8 * i', 8), p2), 31), p1)}),
+             lambda a, k: {mixed_in('a', 'k', 27, p1, p4)}, h) AS h FROM m),
+f AS (SELECT sh, x, n, pos + n % 8 // 4 * 4 AS pos, CASE WHEN n % 8 >= 4 THEN {mixed_in('h', times(lane('pos', 4), p1), 23, p2, p3)} ELSE h END AS h FROM e),
+b AS (SELECT sh, list_reduce(list_transform(range(n - pos), lambda i: {times(lane('pos + i', 1), p5)}), lambda a, k: {mixed_in('a', 'k', 11, p1, None)}, h) AS h FROM f),
+x AS (SELECT sh, xor(h, h >> 33) AS h FROM b), y AS (SELECT sh, {times('h', p2)} AS h FROM x), z AS (SELECT sh, xor(h, h >> 29) AS h FROM y),
+q AS (SELECT sh, {times('h', p3)} AS h FROM z), hashes AS (SELECT sh, xor(h, h >> 32) AS h FROM q),
+counted AS (SELECT rid, sum(c) AS total, {count} FROM (SELECT rid, sh, count(*) AS c FROM s GROUP BY ALL) JOIN hashes USING (sh) GROUP BY rid),
+prints AS (SELECT rid, doc_id, coalesce(fp, 0)::UBIGINT AS fp FROM d LEFT JOIN (SELECT rid, {bit} AS fp FROM counted) USING (rid)),
+firsts AS (SELECT fp, min(doc_id) AS first FROM prints GROUP BY fp),
+links AS (SELECT a.fp AS x, b.fp AS y FROM firsts a JOIN firsts b ON a.fp <> b.fp WHERE bit_count(xor(a.fp, b.fp)::BIT) <= {bits}),
+reach(fp, far) AS (SELECT fp, fp FROM firsts UNION SELECT reach.fp, links.y FROM reach JOIN links ON links.x = reach.far),
+roots AS (SELECT r.fp, min(f.first) AS component_id FROM reach r JOIN firsts f ON f.fp = r.far GROUP BY r.fp)
+SELECT doc_id, lower(lpad(to_hex(fp), 16, '0')) AS fingerprint, component_id FROM prints JOIN roots USING (fp)
+"""
+
+
+SQL = _sql()
