@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from .common import cut, stored
 
 #: Classes that exchange words; words of highest count that do; words whose counts are sent to every executor (some 15 MB).
-CLASSES, HEAD, KNOWN = 64, 1 << 16, 1 << 17
+CLASSES, HEAD, KNOWN = 64, 1 << 15, 1 << 17
 #: Rounds of exchange at most; in each a part of the words, by turns, may move. Rounds end once all parts together have gained less
 #: than this share of the log-likelihood.
 ROUNDS, GAIN = 40, 0.001
+#: What each word of a shape's class gives up of its count to unknown words.
+DISCOUNT = 0.5
 #: All other words fall into fixed classes by shape: last character, whether all ASCII, whether over ten bytes.
 SHAPES = 12
 _FLUSH = 400_000
@@ -88,7 +90,7 @@ class Symbols:
     def __init__(self, words: list[str], counts: list[int]):
         self.place = {w.encode("utf-8", "surrogatepass"): i for i, w in enumerate(words)}
         self.counts = np.array(counts, dtype=np.int64)
-        self.head = min(HEAD, len(words))
+        self.head = min(HEAD, int((self.counts > 1).sum()))
         self.size = 1 + SHAPES + self.head
         rest = [1 + shape(w) for w in list(self.place)[self.head:]]
         # of each known word, and last of an unknown one, whose shape is looked at
@@ -130,19 +132,61 @@ def pair_counts(docs: DataFrame, text: str, sent, size: int) -> DataFrame:
     return got.select(F.expr(f"cast(code div {size} as int)").alias("a"), (F.col("code") % size).cast("int").alias("b"), "n")
 
 
-def _class_pairs(pairs: DataFrame, classes: np.ndarray, total: int) -> np.ndarray:
+#: Pairs in one packed row.
+_PACK = 1 << 18
+
+
+def _packed(pairs: DataFrame) -> DataFrame:
+    """(w, o, side, n) of all pairs as rows of arrays in binary: side 1 for what follows w, side 0 for what precedes a head word.
+
+    All pairs of one word lie in one partition. So every round reads a few wide rows instead of each pair as one.
+    """
+    both = pairs.select(F.col("a").alias("w"), F.col("b").alias("o"), F.lit(1).cast("byte").alias("side"), "n").union(
+        pairs.where(F.col("b") > SHAPES).select(F.col("b").alias("w"), F.col("a").alias("o"), F.lit(0).cast("byte").alias("side"), "n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+
+        def out() -> pa.RecordBatch:
+            parts = [np.concatenate([x[i] for x in held]) for i in range(4)]
+            return pa.RecordBatch.from_arrays([pa.array([x.astype(k).tobytes()], pa.binary()) for x, k in zip(parts, _KINDS)], ["w", "o", "side", "n"])
+
+        for b in batches:
+            held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+            rows += b.num_rows
+            if rows >= _PACK:
+                yield out()
+                held, rows = [], 0
+        if rows:
+            yield out()
+
+    # a word's pairs lie together; the symbols that are no words, of which each may be in a large share of all pairs, are dealt out
+    spread = F.when(F.col("w") > SHAPES, F.lit(0)).otherwise(F.pmod(F.xxhash64("o"), F.lit(64)))
+    return cut(both.repartition("w", spread).mapInArrow(run, "w binary, o binary, side binary, n binary"))  # which keeps partitions whole
+
+
+_KINDS = (np.int32, np.int32, np.int8, np.int64)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    for b in batches:
+        for row in range(b.num_rows):
+            yield [np.frombuffer(b.column(i)[row].as_buffer(), dtype=k) for i, k in enumerate(_KINDS)]
+
+
+def _class_pairs(packed: DataFrame, classes: np.ndarray, total: int) -> np.ndarray:
     """The table of class bigrams: each task sends at most classes squared rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = np.zeros(total * total)
-        for b in batches:
-            x, y, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            t += np.bincount(classes[x] * total + classes[y], n, total * total)
+        for w, o, side, n in _unpacked(batches):
+            m = side == 1
+            t += np.bincount(classes[w[m]] * total + classes[o[m]], n[m], total * total)
         at = np.flatnonzero(t)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(t[at].astype(np.int64))], ["at", "n"])
 
     out = np.zeros(total * total)
-    for r in pairs.select("a", "b", "n").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        out[r["at"]] = r["n"]
+    got = packed.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    out[got["at"].to_numpy()] = got["n"].to_numpy()
     return out.reshape(total, total)
 
 
@@ -204,19 +248,17 @@ def exchange(pairs: DataFrame, symbols: Symbols, rounds: int = ROUNDS, wanted: i
     free = max(1, min(wanted, symbols.head))
     total = free + 1 + SHAPES
     classes = np.concatenate((free + np.arange(1 + SHAPES), np.arange(symbols.head) % free)).astype(np.int64)
-    table = _class_pairs(pairs, classes, total)
+    # as every round reads them all, no more tasks than cores, or a million pairs each
+    packed = _packed(pairs).coalesce(max(pairs.sparkSession.sparkContext.defaultParallelism, 2 * pairs.count() >> 20))
+    table = _class_pairs(packed, classes, total)
     log = [] if log is None else log
     log.append(likelihood(table))
     if not symbols.head:
         return classes, table
-    both = pairs.select(F.col("a").alias("w"), F.col("b").alias("o"), F.lit(1).cast("byte").alias("side"), "n").union(
-        pairs.select(F.col("b").alias("w"), F.col("a").alias("o"), F.lit(0).cast("byte").alias("side"), "n"))
-    at_words = cut(both.where(F.col("w") > SHAPES).repartition("w"))
     parts, turn, gained = 2, 0, []
     for _ in range(rounds):
         def run(batches: Iterator[pa.RecordBatch], classes=classes, table=table, turn=turn, parts=parts) -> Iterator[pa.RecordBatch]:
-            held = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(4)] for b in batches]
-            held = [[c[m] for c in b] for b in held for m in [b[0] % parts == turn]]
+            held = [[c[m] for c in b] for b in _unpacked(batches) for m in [(b[0] % parts == turn) & (b[0] > SHAPES)]]
             w, o, side, n = (np.concatenate([p[i] for p in held]) if held else np.zeros(0, np.int64) for i in range(4))
             ids, at = np.unique(w, return_inverse=True)
             for first in range(0, len(ids), 2048):  # so many rows of the dense table at a time
@@ -229,9 +271,9 @@ def exchange(pairs: DataFrame, symbols: Symbols, rounds: int = ROUNDS, wanted: i
                 yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(best)], ["w", "c"])
 
         new = classes.copy()
-        got = at_words.mapInArrow(run, "w long, c long").toPandas()
+        got = packed.mapInArrow(run, "w long, c long").toPandas()
         new[got["w"].to_numpy()] = got["c"].to_numpy()
-        new_table = _class_pairs(pairs, new, total)
+        new_table = _class_pairs(packed, new, total)
         up = likelihood(new_table) - log[-1]
         if up < 0:
             parts *= 2
@@ -258,8 +300,8 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "
     """Every row with id, n_tokens, n_known, train_tokens, base_score, score (log10) and perplexity, learnt from the rows where `train`.
 
     The model's probability of a token is P(its class | class before) * P(token | class). A head word's class was found by
-    exchange; other words have their shape's class, in which the share of words seen once is kept for unknown words,
-    of which there are taken to be as many kinds, and one more. An end is a class of its own and also stands before the first word. Null and empty texts are one end. Rows that
+    exchange; other words have their shape's class, in which each gives up DISCOUNT of its count to unknown words, of which
+    there are taken to be as many kinds as there are words seen once, and one more. An end is a class of its own and also stands before the first word. Null and empty texts are one end. Rows that
     repeat are scored alike, null ids too; very long texts are scored whole; ties in count go by the word. Without training rows all
     counts are 0 and classes are equally likely. An empty table gives no rows; further columns play no part.
     """
@@ -276,19 +318,23 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "
     classes, table = exchange(pairs, symbols)
     total = len(table)
     free = total - 1 - SHAPES
-    # per class: tokens, and the share kept for words never seen
+    # per class: tokens; per shape: words, those seen once, the share kept for words never seen, and what known words are divided by
     mass = np.maximum(table.sum(0), 1.0)
-    once = np.zeros(SHAPES)
+    kinds, once = np.zeros(SHAPES), np.zeros(SHAPES)
     head = spark.createDataFrame([(w,) for w, _ in known[: symbols.head]], "word string")
-    rare = counts.where("n = 1").join(F.broadcast(head), "word", "left_anti")
-    for r in rare.groupBy(shape_of(F.col("word")).alias("s")).count().collect():
-        once[r["s"]] = r["count"]
-    kept = (once + 1.0) / (mass[free + 1:] + 2.0)
+    rare = counts.join(F.broadcast(head), "word", "left_anti")
+    for r in rare.groupBy(shape_of(F.col("word")).alias("s")).agg(F.count("*").alias("k"), F.count_if(F.col("n") == 1).alias("o")).collect():
+        kinds[r["s"]], once[r["s"]] = r["k"], r["o"]
+    kept = (DISCOUNT * kinds + 1.0) / (mass[free + 1:] + 2.0)
+    shared = np.log10(1 - kept) - np.log10(np.maximum(mass[free + 1:] - DISCOUNT * kinds, DISCOUNT))
     step = transitions(table)
     unit = float(np.log10(n + 0.5 * (v + 1)))
     ranks, sym_known = np.arange(len(known)), symbols.sym[:-1]
-    emit = np.log10(np.maximum(symbols.counts, 1)) - np.log10(mass[classes[sym_known]]) if len(known) else np.zeros(0)
-    emit = emit + np.where(ranks < symbols.head, 0.0, np.log10(1 - kept[np.minimum(sym_known, SHAPES) - 1])) if len(known) else emit
+    in_head = ranks < symbols.head
+    emit = np.zeros(0)
+    if len(known):
+        apart = shared[np.clip(sym_known, 1, SHAPES) - 1]
+        emit = np.where(in_head, np.log10(symbols.counts) - np.log10(mass[classes[sym_known]]), np.log10(np.maximum(symbols.counts - DISCOUNT, DISCOUNT)) + apart)
     base_known = np.log10(symbols.counts + 0.5) - unit
     base_end = float(np.log10(ends + 0.5)) - unit
     model = spark.sparkContext.broadcast(cloudpickle.dumps((symbols, classes, step, emit, base_known)))
@@ -318,13 +364,13 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "
     got = stored(got.withColumn("row", F.monotonically_increasing_id()))
     rest = got.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("k"))
     c = F.coalesce(F.col("n"), F.lit(0))
-    per_shape = F.lit([float(x) for x in np.log10(1 - kept) - np.log10(mass[free + 1:])]).cast("array<double>")
+    per_shape = F.lit([float(x) for x in shared]).cast("array<double>")
     unknown = F.lit([float(x) for x in np.log10(kept / (once + 1.0))]).cast("array<double>")
     s = (shape_of(F.col("word")) + 1).cast("int")
     rest = rest.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("_known"),
         F.sum(F.col("k") * (F.log10(c + 0.5) - unit)).alias("_base"),
-        F.sum(F.col("k") * F.when(c > 0, F.log10(F.greatest(c, F.lit(1)).cast("double")) + F.element_at(per_shape, s)).otherwise(F.element_at(unknown, s))).alias("_model"))
+        F.sum(F.col("k") * F.when(c > 0, F.log10(F.greatest(c, F.lit(1)) - DISCOUNT) + F.element_at(per_shape, s)).otherwise(F.element_at(unknown, s))).alias("_model"))
     got = got.drop("words", "times").join(rest, "row", "left")
 
     def plus(a: str, b: str) -> Column:
