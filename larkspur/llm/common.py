@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -43,9 +44,21 @@ def shared_dir(spark: SparkSession) -> str:
         found = tempfile.mkdtemp(prefix="larkspur-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
+        at_exit(spark, spark.sparkContext.getCheckpointDir())
     return found.rstrip("/")
 
 
+def at_exit(spark: SparkSession, path: str) -> None:
+    """Has a folder deleted when the driver ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The frame by way of checkpoint(): lineage ends, and later passes read the same rows in the same partitions."""
     shared_dir(df.sparkSession)
@@ -55,7 +68,7 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """The frame by way of a compressed Parquet table in the shared folder, for rows too wide for a checkpoint.
 
-    Its shuffle files are let go at once. The folder is deleted when the driver ends.
+    Its shuffle files are let go at once. The folder is deleted by let_go(), or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
@@ -66,10 +79,25 @@ def stored(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(tidy, before)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.parquet(path)
+    at_exit(spark, path)
+    out = spark.read.parquet(path)
+    out._stored_at = path
+    return out
+
+
+def let_go(df: DataFrame) -> None:
+    """Deletes what stored() has written, once nothing that is still to be computed reads it."""
+    deleted(df.sparkSession, df._stored_at)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets go of the shuffle files and checkpoints of frames that nothing holds any more.
+
+    Spark deletes them once the driver's garbage is collected, which many small jobs of a loop may not bring about for
+    long, while each leaves files on every machine.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def joined_small(left: DataFrame, small: DataFrame, on, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -151,6 +179,7 @@ def components(edges: DataFrame) -> DataFrame:
         if new == old:
             break
         old = new
+    tidy(e.sparkSession)
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 

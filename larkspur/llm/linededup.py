@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, joined_small, stored, trimmed
+from .common import components, cut, joined_small, let_go, stored, tidy, trimmed
 
 #: Edits up to which two lines are one.
 EDITS = 2
@@ -96,7 +96,7 @@ def candidates(lines: DataFrame, edits: int = EDITS, crowded: int = CROWDED, ref
     """
     # UTF-32 gives every character four bytes, so that a substring is found without reading what is before it
     level = lines.select(F.lit(0).cast("long").alias("key"), "id", F.encode("line", "UTF-32").alias("s"))
-    index = stored(_indexed(level, edits, False))
+    index = whole = stored(_indexed(level, edits, False))
     probe = _probed(level, edits, False)
     found: DataFrame | None = None
     while True:
@@ -109,6 +109,7 @@ def candidates(lines: DataFrame, edits: int = EDITS, crowded: int = CROWDED, ref
         pairs = _met(calm_i, calm_p, edits)
         found = cut(pairs.distinct() if found is None else pairs.union(found).distinct())
         if not some:
+            let_go(whole)
             return found
         if "rest" not in index.columns:
             # only lines of the crowds' lengths can be among them
@@ -262,10 +263,11 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS,
     if twins.limit(1).count():  # two lines of one key: as good as never, and then these are keyed anew by both hashes
         new = F.when(F.col("_twin"), F.xxhash64("id", _tag("line"))).otherwise(F.col("id"))
         every = joined_small(every, twins, "id", "left").withColumn("id", new).drop("_twin")
+        let_go(lines)
         lines = distinct(every)
     spot = F.coalesce("doc", F.lit("-1" + "0" * 19).cast("decimal(20,0)")).cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(12,0)") + F.col("no")
     spots = stored(every.select("doc", "th", "no", "id", spot.cast("decimal(38,0)").alias("spot")))
-    lines = lines.where(F.length("line") >= least).select("id", "line")
+    held, lines = lines, lines.where(F.length("line") >= least).select("id", "line")
     firsts = spots.groupBy("id").agg(F.min("spot").alias("first"), F.count("*").alias("n"))
     edges = cut(_measured(candidates(lines, edits), lines, edits))
     roots = cut(components(edges))
@@ -274,13 +276,17 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS,
     stay = at.groupBy("root").agg(F.min("first").alias("stay"))
     at = cut(at.join(stay, "root").select("id", "stay"))
     gone = joined_small(spots, at, "id").where("spot <> stay")
-    return gone.groupBy("doc", "th").agg(F.collect_set("no").alias("drop"))
+    gone = cut(gone.groupBy("doc", "th").agg(F.collect_set("no").alias("drop")))
+    for x in (spots, held):
+        let_go(x)
+    tidy(docs.sparkSession)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, id_col: str = "doc_id", text: str = "text",
                 short: bool = False) -> DataFrame:
     """The rows of `docs` with the repeated lines taken out of `text`; see dropped_lines(). Null texts stay null."""
-    gone = cut(dropped_lines(docs, edits, least, id_col, text, short).withColumnsRenamed({"doc": "_doc", "th": "_th", "drop": "_drop"}))
+    gone = dropped_lines(docs, edits, least, id_col, text, short).withColumnsRenamed({"doc": "_doc", "th": "_th", "drop": "_drop"})
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # one column, so that no name clashes
     at = docs.select(row.alias("_row"), F.col(id_col).cast("decimal(20,0)").alias("_id"), F.xxhash64(text).alias("_text"))
     at = at.join(gone, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_th")), "left")  # by shuffle at every size: the lists have no bound
@@ -292,7 +298,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, i
 def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_lines, n_kept, dropped) for every document; dropped lists the places of its lines that go."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    gone = cut(dropped_lines(docs, short=True))
+    gone = dropped_lines(docs, short=True)
     n = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
     all_docs = docs.select("doc_id", F.xxhash64("text").alias("th"), n.alias("n_lines"))
     same = (all_docs["doc_id"].cast("decimal(20,0)").eqNullSafe(gone["doc"])) & (all_docs["th"] == gone["th"])

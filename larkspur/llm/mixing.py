@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, joined_small, n_words, numbered, running
+from .common import cut, joined_small, n_words, numbered, running, tidy
 
 #: Newton steps at most; steps stop once every source's expected words are within TOLERANCE of its target, or its bracket is empty.
 STEPS, TOLERANCE = 100, 1e-7
@@ -62,7 +62,9 @@ def balanced(lengths: DataFrame, goals: DataFrame, most: int, log: list[float] |
     at = goals.join(mean.withColumnRenamed("source", "_of"), F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
     at = cut(at.select("source", "source_size", "target", F.when(~whole & (F.col("source_size") > 0), start).alias("tilt"),
                        F.lit(None).cast("double").alias("_low"), F.lit(None).cast("double").alias("_high"), "_square"))
-    for _ in range(STEPS):
+    for step in range(STEPS):
+        if step % 8 == 0:
+            tidy(lengths.sparkSession)
         open_ = at.where("tilt is not null")
         asked = open_.select(F.col("source").alias("_of"), "tilt")
         sums = joined_small(lengths, asked, lengths["source"].eqNullSafe(asked["_of"])).groupBy("source").agg(
