@@ -153,6 +153,20 @@ def licensed_texts(texts: DataFrame, w: Weights) -> DataFrame:
     return cut(hits.union(tags).groupBy("th", "tg").agg(least).select("th", "tg", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine")))
 
 
+def whole_texts(texts: DataFrame, w: Weights) -> DataFrame:
+    """(th, tg) of the rows (th, tg, text) that are a licence and little else: all their terms together are at LEAST_COSINE or more to a template."""
+    tw = {x: [0.0] * len(_PARTS) for x in _VOCABULARY}
+    for t, _, x, y in w.terms:
+        tw[x][t] = y
+    made = texts.sparkSession.createDataFrame([(x, w.idf[x], tw[x]) for x in _VOCABULARY], "term string, idf double, tw array<double>")
+    at = texts.groupBy("th", "tg").agg(F.first("text").alias("text")).select("th", "tg", F.explode(_terms(F.col("text"))).alias("term"))
+    at = at.groupBy("th", "tg", "term").agg(F.count("*").alias("tf")).join(F.broadcast(made), "term", "left")  # as many rows as the templates have terms
+    at = at.withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(w.other)))
+    dots = [F.sum(F.col("w") * F.coalesce(F.get("tw", F.lit(t)), F.lit(0.0))) for t, _, _ in _PARTS]
+    got = at.groupBy("th", "tg").agg(F.greatest(*dots).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return got.where(F.round(F.col("dot") / F.col("norm"), 9) >= LEAST_COSINE).select("th", "tg")
+
+
 def _above(directory: Column) -> Column:
     """A directory and those above it, nearest first, down to the root, which is empty."""
     parts = F.filter(F.split(directory, "/"), lambda x: x != "")
@@ -160,22 +174,28 @@ def _above(directory: Column) -> Column:
         i.alias("up"), F.array_join(F.slice(parts, F.lit(1), F.size(parts) - i), "/").alias("home")))
 
 
-def scanned(files: DataFrame, id_col: str = "doc_id", path: str = "path", text: str = "text") -> DataFrame:
+def scanned(files: DataFrame, id_col: str = "doc_id", path: str = "path", text: str = "text", by_text: bool = False) -> DataFrame:
     """(id, license, cosine, how, directory) of every row.
 
     how: `own` if the text holds an SPDX tag or a span at LEAST_COSINE or more to a template (see licensed_texts()),
     `inherited` if not but a directory above holds a file named as a licence that has one (the nearest; of several there
-    the best cosine, then the first name), else `none` with a null license. A null path inherits nothing; null and empty
+    the best cosine, then the first name), else `none` with a null license. With `by_text`, files of other names whose whole
+    text is a licence (see whole_texts()) pass it on as well, for tables whose names tell nothing. A null path inherits nothing; null and empty
     texts have no licence of their own. Rows are judged one by one, so repeated rows and ids, null ones too, are each
     returned; further columns are passed over whatever their names. An empty table gives no rows. Paths have `/`
-    between names and none in front.
+    between names; further ones, and any in front, are passed over.
     """
-    base = files.select(F.col(id_col).alias("id"), F.col(path).alias("path"), F.col(text).alias("text"))
+    one = F.regexp_replace(F.regexp_replace(F.col(path), "/+", "/"), "^/", "")
+    base = files.select(F.col(id_col).alias("id"), one.alias("path"), F.col(text).alias("text"))
     base = base.withColumns({"th": F.xxhash64("text"), "tg": F.xxhash64(F.lit(1), "text")})
-    own = licensed_texts(base.where(F.col("text").isNotNull()).select("th", "tg", "text"), weights(base, "text"))
+    texts, w = base.where(F.col("text").isNotNull()).select("th", "tg", "text"), weights(base, "text")
+    own = licensed_texts(texts, w).withColumn("file", F.lit(False))
+    if by_text:
+        whole = whole_texts(joined_small(texts, own.select("th", "tg"), ["th", "tg"], "left_semi"), w).withColumn("whole", F.lit(True))
+        own = cut(own.join(whole, ["th", "tg"], "left").withColumn("file", F.coalesce("whole", "file")).drop("whole"))
     rows = base.select("id", "path", F.regexp_replace("path", "/?[^/]*$", "").alias("dir"), "th", "tg")
     rows = cut(joined_small(rows, own, ["th", "tg"], "left").drop("th", "tg"))
-    homes = rows.where(F.col("license").isNotNull() & F.col("path").rlike(LICENCE_FILE)).groupBy("dir").agg(
+    homes = rows.where(F.col("license").isNotNull() & (F.col("file") | F.col("path").rlike(LICENCE_FILE))).groupBy("dir").agg(
         F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
     homes = cut(homes.select(F.col("dir").alias("home"), F.col("b.license").alias("given"), (-F.col("b.c")).alias("given_cosine")))
     asked = rows.where(F.col("license").isNull() & F.col("dir").isNotNull()).select("dir").distinct()
@@ -189,9 +209,15 @@ def scanned(files: DataFrame, id_col: str = "doc_id", path: str = "path", text:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files `source/lang/doc_id`; see scanned()."""
+    """Documents as files `source/lang/doc_id`; see scanned().
+
+    Numbers name no licence file, so those whose whole text is a licence are the licence files of `source/lang`. Without a
+    source a document stands in no directory, and neither inherits nor passes on.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return scanned(docs.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    path = F.when(F.col("source").isNotNull(), F.concat_ws("/", "source", "lang", name))
+    return scanned(docs.select("doc_id", path.alias("path"), "text"), by_text=True)
 
 
 def _sql_terms(text: str) -> str:
@@ -200,7 +226,9 @@ def _sql_terms(text: str) -> str:
 
 _TEMPLATE_ROWS = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
 SQL = rf"""
-WITH f AS (SELECT row_number() OVER () AS rid, doc_id AS id, concat_ws('/', source, lang, doc_id::VARCHAR) AS path, text, {_sql_terms("coalesce(text, '')")} AS terms FROM documents),
+WITH f AS (SELECT row_number() OVER () AS rid, doc_id AS id, text,
+      CASE WHEN source IS NOT NULL THEN regexp_replace(regexp_replace(concat_ws('/', source, lang, coalesce(doc_id::VARCHAR, '')), '/+', '/', 'g'), '^/', '') END AS path,
+      {_sql_terms("coalesce(text, '')")} AS terms FROM documents),
 templates(t, license, text) AS (VALUES {_TEMPLATE_ROWS}),
 parts AS (SELECT t, license, {_sql_terms("text")} AS terms FROM templates),
 placed AS (SELECT t, license, len(terms) AS m, unnest(terms) AS term, generate_subscripts(terms, 1) - 1 AS off FROM parts),
@@ -222,7 +250,12 @@ good AS (SELECT k, round(dot / norm, 9) AS cosine FROM dots WHERE round(dot / no
 hits AS (SELECT rid, t, license, cosine FROM spans JOIN kinds USING (t, span) JOIN good USING (k) JOIN templates USING (t)
          UNION ALL SELECT rid, -1, unnest(regexp_extract_all(text, '{SPDX}', 1)), 1.0 FROM f),
 own AS (SELECT rid, license, cosine FROM hits QUALIFY row_number() OVER (PARTITION BY rid ORDER BY t >= 0, cosine DESC, t, license) = 1),
-homes AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, license, cosine FROM f JOIN own USING (rid) WHERE regexp_matches(path, '{LICENCE_FILE}')
+bag AS (SELECT rid, term, count(*) * coalesce(any_value(idf), (SELECT avg(idf) FROM idf)) AS w FROM words SEMI JOIN own USING (rid) LEFT JOIN idf USING (term) GROUP BY rid, term),
+size AS (SELECT rid, sqrt(sum(w * w)) AS norm FROM bag GROUP BY rid),
+likes AS (SELECT rid, t, sum(bag.w * tw.w / tn) AS dot FROM bag JOIN tw USING (term) JOIN tn USING (t) GROUP BY rid, t),
+whole AS (SELECT DISTINCT rid FROM likes JOIN size USING (rid) WHERE round(dot / norm, 9) >= {LEAST_COSINE}),
+homes AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, license, cosine FROM f JOIN own USING (rid)
+          WHERE regexp_matches(path, '{LICENCE_FILE}') OR rid IN (SELECT rid FROM whole)
           QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, license) = 1),
 near AS (SELECT rid, dir, license, cosine FROM f JOIN homes ON dir = '' OR starts_with(path, dir || '/') WHERE rid NOT IN (SELECT rid FROM own)
          QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length(dir) DESC) = 1)

@@ -351,6 +351,25 @@ def test_licenses(spark, none):
         (10, None, "none", None)} and len(got) == 11
 
 
+def test_licence_files_among_documents(spark, tmp_path):
+    """A document that is a licence and little else passes it on to its directory, one that merely has a notice does not; as by the SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    mit, prose = "Released under the MIT License.", "a long tale of ships and sailors that holds many other words than those"
+    rows = [(1, "// " + mit.upper(), "en", "a/b"), (2, prose, "en", "a/b"), (3, prose, "fr", "a/b"), (4, f"{prose} {mit}", "en", "c"), (5, prose, "en", "c"), (6, mit, None, "a"),
+            (7, prose, "en", "/a//b"), (8, mit, "en", None), (9, prose, "en", None), (None, prose, "en", "a/b"), (10, None, "de", "a"), (11, "All rights reserved.", "de", "d"),
+            (12, "This is free software, and SPDX-License-Identifier: Zlib " + prose, "es", "d"), (13, "", "de", "d")]
+    spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    df = licenses.op7_licenses(spark, str(tmp_path))
+    assert {(r["doc_id"], r["license"], r["how"], r["directory"]) for r in df.collect()} == {
+        (1, "MIT", "own", None), (2, "MIT", "inherited", "a/b/en"), (3, "MIT", "inherited", "a"), (4, "MIT", "own", None), (5, None, "none", None), (6, "MIT", "own", None),
+        (7, "MIT", "inherited", "a/b/en"), (8, "MIT", "own", None), (9, None, "none", None), (None, "MIT", "inherited", "a/b/en"), (10, "MIT", "inherited", "a"),
+        (11, "Proprietary", "own", None), (12, "Zlib", "own", None), (13, "Proprietary", "inherited", "d/de")}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cur = con.execute(licenses.SQL)
+    assert rounded(df.select(*[x[0] for x in cur.description]).collect()) == rounded(cur.fetchall())
+
+
 def test_scores(docs, none, spark):
     assert brown.scored(none, F.lit(True)).count() == 0
     train = F.col("doc_id") % 3 != 1
