@@ -1,4 +1,4 @@
-"""Near copies: SimHash anchors propose pairs, MinHash bands those that SimHash cannot reach; exact Jaccard similarity of word shingles decides."""
+"""Near copies: SimHash anchors and MinHash bands link most, a prefix filter proposes all that is left; exact Jaccard similarity of word shingles decides."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut, joined_small, let_go, stored, tidy
@@ -19,8 +19,14 @@ ALIKE = (4, 5)
 BITS = 2
 #: Bands of minima, and minima in each: two texts of similarity s share no band with probability (1 - s^4)^28, 4e-7 at 0.8.
 BANDS, MINIMA = 28, 4
-#: Classes of a band up to which all pairs are made; of more, each meets one of them a round, until a round finds no link.
+#: Classes of a band up to which all pairs are made; of more, each meets one of them a round, until a round finds no link. What that leaves, _rest() proposes.
 CROWDED = 24
+#: One in so many texts is read for shingles that are common. It sets the order of shingles only, and so the time, not the result.
+SAMPLED = 16
+#: Shingles held as common at most, those seen most often in the sample; again only for the order.
+COMMON = 100_000
+#: Candidates verified at a time, so that their sets need no more disk than this.
+SLICE = 500_000
 #: Rows up to which ids of texts are broadcast (some 10 MB); beyond it texts are shuffled to the ids.
 IDS = 400_000
 
@@ -92,6 +98,63 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "key long, s array<int>")
 
 
+def prefix(found: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The shingles of which two near copies share one at least: n - ceil(0.8 n) + 1 first ones, common ones ordered last."""
+    n, (p, q) = len(found), ALIKE
+    if not n:
+        return found
+    if len(common):
+        often = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found
+        found = np.concatenate((found[~often], found[often]))
+    return found[: n - -(-n * p // q) + 1]
+
+
+def _common(texts: DataFrame, width: int) -> np.ndarray:
+    """Shingles that several texts of the sample hold, COMMON at most, in order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, got in _batches(batches, width):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in got]))], ["s"])
+
+    sample = texts.where(F.pmod("th", F.lit(SAMPLED)) == 0).groupBy("th").agg(F.first("text").alias("text"))
+    often = sample.mapInArrow(run, "s long").groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(COMMON)
+    return np.sort(np.array([r["s"] for r in often.collect()], dtype=np.int64))
+
+
+def _rest(texts: DataFrame, roots: DataFrame, width: int) -> DataFrame:
+    """Pairs (a, b) of keys in different components that may be near copies, however many classes hold a shingle.
+
+    In whatever order of shingles, the first that two near copies share lies in the prefixes of both (Chaudhuri et al. 2006), and
+    they share no more than it and what follows it in either (Xiao et al. 2008). Classes of a shingle meet by steps of
+    size, in as many parts as a frequent one needs.
+    """
+    p, q = ALIKE
+    common = texts.sparkSession.sparkContext.broadcast(_common(texts, width))  # of COMMON entries at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, got in _batches(batches, width):
+            keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x, _ in got], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([len(x) for x, _ in got], pa.int32()),
+                                              pa.array([prefix(x, common.value) for x, _ in got], pa.list_(pa.int64()))], ["key", "n", "p"])
+
+    at = texts.mapInArrow(run, "key long, n int, p array<long>").groupBy("key").agg(F.first("n").alias("n"), F.first("p").alias("p"))
+    at = at.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "n", F.coalesce("root", "key").alias("root"), F.posexplode("p").alias("i", "tok"))
+    held = Window.partitionBy("tok")
+    at = at.select("*", F.min("root").over(held).alias("low"), F.max("root").over(held).alias("high"), F.count("*").over(held).alias("k")).where("low < high")
+    # sizes of near copies differ by a quarter at most, so by one of these steps; a frequent shingle is dealt to several parts
+    at = at.withColumns({"step": F.floor(F.log("n") / F.lit(float(np.log(1.3)))), "parts": F.ceil(F.sqrt("k") / 32)})
+    at = stored(at.drop("low", "high", "k"))
+    one, two = (at.select("tok", "step", "parts", *[F.col(c).alias(f"{c}{x}") for c in ("key", "n", "root", "i")]) for x in "ab")
+    one = one.withColumn("part", F.pmod(F.xxhash64("keya"), F.col("parts"))).drop("parts")
+    two = two.withColumn("step", F.explode(F.array("step", F.col("step") - 1)))
+    two = two.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    met = one.join(two, ["tok", "step", "part"]).where((F.struct("na", "keya") < F.struct("nb", "keyb")) & (F.col("roota") != F.col("rootb")))
+    met = met.where(most * (p + q) >= (F.col("na") + F.col("nb")) * p)
+    got = cut(met.select(F.least("keya", "keyb").alias("a"), F.greatest("keya", "keyb").alias("b")).distinct())
+    let_go(at)
+    return got
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """The pairs (a, b) of keys whose shingles are near copies by count. Only their texts are read for shingles again."""
     p, q = ALIKE
@@ -123,7 +186,9 @@ def near_copies(docs: DataFrame, width: int = 5, text: str = "text") -> DataFram
     anchors, and those that hold are joined. Since the fingerprints of most texts of similarity 0.8 differ in more
     bits than anchors can serve, bands of minima then propose the others: the classes of a band that are not yet in one
     component meet one of them, each class one in all its bands; then all pairs are made of bands of few classes, while
-    those of many go on meeting one, another each round, until a round finds no link. All candidates are verified on whole sets of shingles.
+    those of many go on meeting one, another each round, until a round finds no link. At last a prefix filter proposes every pair
+    of different components that may still hold, so neither crowded bands nor the chance of bands leave a link out; see
+    _rest(). All candidates are verified on whole sets of shingles.
     """
     p, q = ALIKE
     tidy(docs.sparkSession)
@@ -171,6 +236,12 @@ def near_copies(docs: DataFrame, width: int = 5, text: str = "text") -> DataFram
                 roots = components(edges)
         turn += 1
         tidy(docs.sparkSession)
+    rest = cut(_rest(texts, roots, width).join(met, ["a", "b"], "left_anti"))
+    many = -(-rest.count() // SLICE)
+    for k in range(many):
+        edges = edges.union(_verified(rest.where(F.pmod(F.xxhash64("a"), F.lit(many)) == k), texts, classes, width))
+    if many:
+        roots = components(cut(edges))
     named = at.select("th", "key").distinct().join(roots.withColumnRenamed("node", "key"), "key", "left")
     named = cut(named.select("th", F.coalesce("root", "key").alias("root")))
     for x in (at, classes, tokens, whole, before):

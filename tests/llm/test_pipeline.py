@@ -222,6 +222,18 @@ def test_near_copies_from_four_fifths(spark, monkeypatch, crowded):
     assert kept == [i for i, k in enumerate(root) if i == k] and 12 < len(kept) < 100
 
 
+def test_crowded_bands_leave_no_link_out(spark):
+    """Of 150 texts that share 80 of 91 shingles, so that their bands are crowded, twelve pairs share one more and so are near copies."""
+    from larkspur.llm import jaccard
+
+    core = [f"w{i}" for i in range(84)]
+    tails = [[f"p{k // 2}" if k < 24 else f"q{k}"] + [f"t{k}x{i}" for i in range(10)] for k in range(150)]
+    texts = [" ".join(core + t) for t in tails]
+    assert alike(texts[0], texts[1]) and not alike(texts[1], texts[2]) and not alike(texts[30], texts[31])
+    got = jaccard.near_copies(spark.createDataFrame([(t,) for t in texts], "text string")).groupBy("root").count().collect()
+    assert sorted(r["count"] for r in got) == [1] * 126 + [2] * 12
+
+
 def test_copies_stage_with_null_and_shared_ids(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
     rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (3, c), (7, d), (None, d)]
