@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The characters that part words: space and 0x09 to 0x0D.
@@ -15,6 +16,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 _PARTED = r"[\x20\x09-\x0D]+"
 #: Rows up to which a side of known count may be broadcast; beyond it Spark joins by shuffle.
 BROADCAST_ROWS = 50_000
+#: Edges up to which the driver finds components (some 2 MB); beyond it rounds of star contraction do.
+DRIVER_EDGES = 100_000
 
 
 def trimmed(text: Column | str) -> Column:
@@ -65,6 +68,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def gathered(df: DataFrame, each: int = 20_000) -> DataFrame:
+    """cut() for rows that may be few: they are counted on the way, as `_rows`, and read again in no more partitions than hold
+    `each` of them, since a task for each partition of a shuffle costs more than a few rows do. Partitions lose their order.
+    """
+    shared_dir(df.sparkSession)
+    seen = Observation()
+    out = df.observe(seen, F.count("*").alias("n")).checkpoint(eager=True)
+    n = seen.get["n"]
+    out = out.coalesce(max(1, -(-n // each)))
+    out._rows = n
+    return out
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The frame by way of a compressed Parquet table in the shared folder, for rows too wide for a checkpoint.
 
@@ -103,9 +119,11 @@ def tidy(spark: SparkSession) -> None:
 def joined_small(left: DataFrame, small: DataFrame, on, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
     """A join whose right side is broadcast only if its rows, counted here, are at most `limit`.
 
-    `small` should be cut, so that counting is cheap. Beyond the limit the join shuffles both sides.
+    `small` should be cut, so that counting is cheap, or gathered, so that it is counted. Beyond the limit the join shuffles
+    both sides.
     """
-    few = small.limit(limit + 1).count() <= limit
+    n = vars(small).get("_rows")
+    few = (small.limit(limit + 1).count() if n is None else n) <= limit
     return left.join(F.broadcast(small) if few else small, on, how)
 
 
@@ -155,15 +173,18 @@ def running(df: DataFrame, order: Sequence[Column | str], sums: dict[str, Column
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b); root is the smallest node of the component.
 
-    Alternates the two star contractions of Kiveris et al. 2014 until the edges stay as they are. Both need only
-    partial minima and joins, and each result is checkpointed. Loops and repeated edges do no harm.
+    Up to DRIVER_EDGES edges, counted here, go to the driver, since each round costs as many small tasks however few
+    edges there are. More alternate the two star contractions of Kiveris et al. 2014 until the edges stay as they are. Both
+    need only partial minima and joins, and each result is checkpointed. Loops and repeated edges do no harm.
     """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = gathered(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
     def mark(x: DataFrame):
         r = x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return r[0], r[1]
 
+    if 0 < e._rows <= DRIVER_EDGES:
+        return _least_nodes(e)
     old = mark(e)
     while old[0]:
         both = e.union(e.select("b", "a"))
@@ -184,6 +205,23 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
+def _least_nodes(edges: DataFrame) -> DataFrame:
+    """components() of a few edges (a, b), on the driver: a greater root always goes below a smaller one."""
+    got, up = edges.select("a", "b").toArrow(), {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for a, b in zip(got["a"].to_pylist(), got["b"].to_pylist()):
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    of = [got.schema.field("a").type] * 2
+    table = pa.table([pa.array(x, t) for x, t in zip((list(up), [root(x) for x in up]), of)], names=["node", "root"])
+    return edges.sparkSession.createDataFrame(table)
+
+
 def latest(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, name: str = "rank") -> DataFrame:
     """The first n rows of each group in `order`, with the rank from 1."""
     w = Window.partitionBy(*by).orderBy(*order)

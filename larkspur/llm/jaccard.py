@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, joined_small, let_go, stored, tidy
+from .common import components, cut, gathered, joined_small, let_go, stored, tidy
 from .simhash import near_pairs, shingle_hashes, summed
 
 #: Similarity from which two texts are near copies, as a fraction.
@@ -19,8 +19,10 @@ ALIKE = (4, 5)
 BITS = 2
 #: Bands of minima, and minima in each: two texts of similarity s share no band with probability (1 - s^4)^28, 4e-7 at 0.8.
 BANDS, MINIMA = 28, 4
-#: Classes of a band up to which all pairs are made; of more, each meets one of them a round, until a round finds no link. What that leaves, _rest() proposes.
+#: Classes of a band up to which all pairs are made; of more, each meets one of them a round, while rounds find links. What that leaves, _rest() proposes.
 CROWDED = 24
+#: Another round follows if one in so many candidates of a round held. It sets the time only: _rest() proposes what is left.
+GAIN = 20
 #: One in so many texts is read for shingles that are common. It sets the order of shingles only, and so the time, not the result.
 SAMPLED = 16
 #: Shingles held as common at most, those seen most often in the sample; again only for the order.
@@ -137,7 +139,7 @@ def _rest(texts: DataFrame, roots: DataFrame, width: int) -> DataFrame:
                                               pa.array([prefix(x, common.value) for x, _ in got], pa.list_(pa.int64()))], ["key", "n", "p"])
 
     at = texts.mapInArrow(run, "key long, n int, p array<long>").groupBy("key").agg(F.first("n").alias("n"), F.first("p").alias("p"))
-    at = at.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "n", F.coalesce("root", "key").alias("root"), F.posexplode("p").alias("i", "tok"))
+    at = joined_small(at, roots, "key", "left", IDS).select("key", "n", F.coalesce("root", "key").alias("root"), F.posexplode("p").alias("i", "tok"))
     held = Window.partitionBy("tok")
     at = at.select("*", F.min("root").over(held).alias("low"), F.max("root").over(held).alias("high"), F.count("*").over(held).alias("k")).where("low < high")
     # sizes of near copies differ by a quarter at most, so by one of these steps; a frequent shingle is dealt to several parts
@@ -150,7 +152,7 @@ def _rest(texts: DataFrame, roots: DataFrame, width: int) -> DataFrame:
     most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
     met = one.join(two, ["tok", "step", "part"]).where((F.struct("na", "keya") < F.struct("nb", "keyb")) & (F.col("roota") != F.col("rootb")))
     met = met.where(most * (p + q) >= (F.col("na") + F.col("nb")) * p)
-    got = cut(met.select(F.least("keya", "keyb").alias("a"), F.greatest("keya", "keyb").alias("b")).distinct())
+    got = gathered(met.select(F.least("keya", "keyb").alias("a"), F.greatest("keya", "keyb").alias("b")).distinct())
     let_go(at)
     return got
 
@@ -158,8 +160,8 @@ def _rest(texts: DataFrame, roots: DataFrame, width: int) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """The pairs (a, b) of keys whose shingles are near copies by count. Only their texts are read for shingles again."""
     p, q = ALIKE
-    keys = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    asked = cut(joined_small(classes.select("key", "th"), keys, "key", "inner", IDS))
+    keys = gathered(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    asked = gathered(joined_small(classes.select("key", "th"), keys, "key", "inner", IDS))
     sets = stored(_sets(joined_small(texts, asked, "th", "inner", IDS).select("key", "text"), width).groupBy("key").agg(F.first("s").alias("s")))
     at = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a")
     at = at.join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
@@ -172,7 +174,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int
 
 def _proposed(classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of keys by SimHash: the least key of each fingerprint with the others of it, and with that of each fingerprint within BITS."""
-    low = cut(classes.groupBy("fp").agg(F.min("key").alias("a")))
+    low = gathered(classes.groupBy("fp").agg(F.min("key").alias("a")))
     same = classes.select("fp", F.col("key").alias("b")).join(low, "fp").where("a <> b").select("a", "b")
     near = near_pairs(low.select("fp"), BITS).withColumnsRenamed({"a": "fa", "b": "fb"})
     near = near.join(low.withColumnsRenamed({"fp": "fa"}), "fa").join(low.withColumnsRenamed({"fp": "fb", "a": "b"}), "fb").select("a", "b")
@@ -186,30 +188,33 @@ def near_copies(docs: DataFrame, width: int = 5, text: str = "text") -> DataFram
     anchors, and those that hold are joined. Since the fingerprints of most texts of similarity 0.8 differ in more
     bits than anchors can serve, bands of minima then propose the others: the classes of a band that are not yet in one
     component meet one of them, each class one in all its bands; then all pairs are made of bands of few classes, while
-    those of many go on meeting one, another each round, until a round finds no link. At last a prefix filter proposes every pair
+    those of many go on meeting one, another each round, while rounds find links. At last a prefix filter proposes every pair
     of different components that may still hold, so neither crowded bands nor the chance of bands leave a link out; see
     _rest(). All candidates are verified on whole sets of shingles.
     """
+    def rooted(edges: DataFrame) -> DataFrame:
+        return gathered(components(edges).withColumnRenamed("node", "key"))
+
     p, q = ALIKE
     tidy(docs.sparkSession)
     texts = docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     at = stored(_signed(texts, width))
     classes = stored(at.groupBy("key").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("p").alias("p")))
     sizes = classes.select("key", "n")
-    pairs = cut(_proposed(classes).distinct())
+    pairs = gathered(_proposed(classes).distinct())
     sized = F.least("na", "nb") * q >= F.greatest("na", "nb") * p
     for x in "ab":
-        pairs = pairs.join(sizes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}")), x)
-    met = cut(pairs.where(sized).select("a", "b"))
+        pairs = gathered(joined_small(sizes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}")), pairs, x, "inner", IDS))
+    met = gathered(pairs.where(sized).select("a", "b"))
     edges = _verified(met, texts, classes, width)
     entries = classes.select("key", "n", F.explode("p").alias("tok"))
     tokens = stored(entries.groupBy("tok").agg(F.count("*").alias("k")).where("k > 1"))
     shared = whole = stored(joined_small(entries, tokens, "tok"))
-    roots = components(edges)
-    turn, linked, before = 0, 1, None
-    while linked or turn < 2:
+    roots = rooted(edges)
+    turn, worth, before = 0, True, None
+    while worth or turn < 2:
         # the bands whose classes are not yet in one component
-        marked = shared.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        marked = joined_small(shared, roots, "key", "left", IDS).withColumn("root", F.coalesce("root", "key"))
         tok = marked.groupBy("tok").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.min(F.struct(F.xxhash64("key", F.lit(turn)), "key", "n", "root")).alias("h"))
         hubs = stored(tok.where("_low < _high").select("tok", F.col("h.key").alias("a"), F.col("h.n").alias("na"), F.col("h.root").alias("ra")))
         other = stored(joined_small(marked.select("tok", "k", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb")), hubs, "tok"))
@@ -219,30 +224,31 @@ def near_copies(docs: DataFrame, width: int = 5, text: str = "text") -> DataFram
         before, shared = other, other.select("tok", "k", F.col("b").alias("key"), F.col("nb").alias("n"))
         new = other.where((F.col("ra") != F.col("rb")) & sized).select("a", "na", "ra", "b", "nb", "rb")
         tried = met.union(met.select("b", "a"))
-        new = new.join(tried, ["a", "b"], "left_anti").groupBy("b", "nb", "rb").agg(F.min_by(F.struct("a", "na", "ra"), F.xxhash64("a", F.lit(turn))).alias("h"))
+        new = joined_small(new, tried, ["a", "b"], "left_anti", IDS).groupBy("b", "nb", "rb").agg(F.min_by(F.struct("a", "na", "ra"), F.xxhash64("a", F.lit(turn))).alias("h"))
         new = new.select("h.a", "h.na", "h.ra", "b", "nb", "rb")
         if turn:
             few = other.where(F.col("k") <= CROWDED)
             new = new.union(few.select("tok", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("rb").alias("ra")).join(
                 few.select("tok", "b", "nb", "rb"), "tok").where("a < b").select("a", "na", "ra", "b", "nb", "rb"))
         new = new.where((F.col("ra") != F.col("rb")) & sized).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = cut(new.join(met, ["a", "b"], "left_anti"))
+        new = gathered(joined_small(new, met, ["a", "b"], "left_anti", IDS))
         linked = 0
-        if new.limit(1).count():
+        if new._rows:
             found = _verified(new, texts, classes, width)
-            met, linked = cut(met.union(new)), found.count()
+            met, linked = gathered(met.union(new)), found.count()
             if linked:
-                edges = cut(edges.union(found))
-                roots = components(edges)
+                edges = gathered(edges.union(found))
+                roots = rooted(edges)
+        worth = linked and linked * GAIN >= new._rows
         turn += 1
         tidy(docs.sparkSession)
-    rest = cut(_rest(texts, roots, width).join(met, ["a", "b"], "left_anti"))
-    many = -(-rest.count() // SLICE)
+    rest = gathered(joined_small(_rest(texts, roots, width), met, ["a", "b"], "left_anti", IDS))
+    many = -(-rest._rows // SLICE)
     for k in range(many):
         edges = edges.union(_verified(rest.where(F.pmod(F.xxhash64("a"), F.lit(many)) == k), texts, classes, width))
     if many:
-        roots = components(cut(edges))
-    named = at.select("th", "key").distinct().join(roots.withColumnRenamed("node", "key"), "key", "left")
+        roots = rooted(edges)
+    named = joined_small(at.select("th", "key").distinct(), roots, "key", "left", IDS)
     named = cut(named.select("th", F.coalesce("root", "key").alias("root")))
     for x in (at, classes, tokens, whole, before):
         let_go(x)

@@ -297,3 +297,34 @@ def test_run_leaves_one_folder(spark, steps, tmp_path):
     corpus_pipeline.run(spark, steps[0]).count()
     new = set(Path(shared_dir(spark)).glob("pipeline-*")) - before
     assert [sorted(p.name for p in x.iterdir()) for x in new] == [["4"]]
+
+
+def test_few_edges_take_few_jobs(spark, monkeypatch):
+    """Components of few edges take no rounds of small tasks, and are those that rounds find."""
+    from larkspur.llm import common
+
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(250)] + [(-5, 400), (7, 7), (500, 500)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+
+    def run(group):
+        spark.sparkContext.setJobGroup(group, group)
+        got = common.components(frame)
+        rows = sorted(map(tuple, got.collect()))
+        spark.sparkContext.setJobGroup("", "")
+        return got.schema.simpleString(), rows, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    kind, few, jobs = run("few")
+    monkeypatch.setattr(common, "DRIVER_EDGES", 0)
+    other, rounds, more = run("rounds")
+    assert few == rounds and len(few) > 200 and kind == other and jobs < 8 < more
+
+
+def test_gathered_rows_are_counted_and_merged(spark):
+    from larkspur.llm.common import gathered, joined_small
+
+    got = gathered(spark.range(0, 300, 1, 50).toDF("k"))
+    assert got._rows == 300 and got.rdd.getNumPartitions() == 1 and gathered(spark.range(0, 300, 1, 50), 100).rdd.getNumPartitions() == 3
+    assert gathered(spark.range(0))._rows == 0
+    for limit in (300, 299):
+        assert joined_small(spark.range(1000).toDF("k"), got, "k", "inner", limit).count() == 300
