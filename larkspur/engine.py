@@ -37,13 +37,14 @@ class BoundSelect:
 
     df: DataFrame
     plan: BoundPlan
-    #: The rows before order and limit, with the columns that order them.
-    ordered: tuple[DataFrame, list] | None = None
-
-    def placed(self, name: str) -> DataFrame:
-        """The result with each row's place from 1 in its order."""
-        df, order = self.ordered
-        got = placed(df, order, name)
+    #: The rows before order and limit, with the names of the hidden columns that order ties.
+    ordered: tuple[DataFrame, list[str]] | None = None
+
+    def placed(self, name: str, by: Sequence[str] = ()) -> DataFrame:
+        """The result with each row's place from 1 in its order; ties go by the columns `by`, then in row order."""
+        (df, ties), plan = self.ordered, self.plan
+        used = [*[c.name for c in plan.output], *by, *ties, *[c.name for c in [plan.order] if c], *[a.column for a in [plan.access] if a]]
+        got = placed(df.select(*dict.fromkeys(used)), order_of(plan, ties, by), name)
         got = got if self.plan.limit is None else got.where(F.col(name) <= self.plan.limit)
         return got.select(*[F.col(c.name) for c in self.plan.output], name)
 
@@ -256,7 +257,7 @@ class Engine:
         ahead = b.limit and b.order is None and b.access is None and not b.predicates
         base, ties = self._leading(t, b.limit) if ahead else self._base(t), self._ties(t)
         rows = lower(replace(b, limit=None, order=None, output=b.schema), base, copy, ties, hidden=True)
-        return BoundSelect(lower(b, base, copy, ties, in_order), b, (rows, order_of(b, ties)))
+        return BoundSelect(lower(b, base, copy, ties, in_order), b, (rows, ties))
 
     def select(self, sql: str) -> BoundSelect:
         return self.bind(parse_select(sql))

@@ -12,20 +12,30 @@ MOST = 2**31 - 1
 _SPOT = "_spot"
 
 
+def dealt(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """The rows dealt out by ranges of an order, unsorted, in the same partitions however often and whatever of them is read.
+
+    A frame that is sorted anew on each read is not: Spark merges a shuffle's partitions by how much the columns read hold, and
+    takes its bounds from a sample that differs from run to run. So the shuffle is made once here, and its files are
+    read; those that get lost are made again with the same bounds. They go once nothing holds the frame.
+    """
+    spark, ranged = df.sparkSession, df.repartitionByRange(*order)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(ranged.queryExecution().toRdd(), ranged.schema(), False), spark)
+
+
 def placed(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """The rows with their place from 1 in an order without ties.
 
-    Partitions of the sorted rows are counted, so one number of each reaches the driver and no task sees all rows. The
-    frame is sorted by range again when it is read, in the same partitions as the order has no ties.
+    Partitions of the dealt rows are counted, so one number of each reaches the driver and no task sees all rows.
     """
-    at = df.orderBy(*order).withColumn(_SPOT, F.monotonically_increasing_id())
-    part = F.shiftright(F.col(_SPOT), 33)
-    counts = {r["p"]: r["n"] for r in at.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    at = dealt(df, order)
+    counts = {r["p"]: r["n"] for r in at.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
     starts, total = [], 0
     for p in range(max(counts, default=-1) + 1):
         starts.append(total)
         total += counts.get(p, 0)
-    before = F.element_at(F.lit(starts or [0]).cast("array<bigint>"), (part + 1).cast("int"))
+    at = at.sortWithinPartitions(*order).withColumn(_SPOT, F.monotonically_increasing_id())
+    before = F.element_at(F.lit(starts or [0]).cast("array<bigint>"), (F.shiftright(F.col(_SPOT), 33) + 1).cast("int"))
     return at.withColumn(name, before + F.col(_SPOT).bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop(_SPOT)
 
 

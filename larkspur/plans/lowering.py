@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,11 +44,12 @@ def lower(plan: BoundPlan, base: DataFrame, index: DataFrame | None, ties: list[
     return df if hidden else _shown(plan, df)
 
 
-def order_of(plan: BoundPlan, ties: list[str]) -> list[Column]:
-    """The whole order of a plan's rows, without ties."""
+def order_of(plan: BoundPlan, ties: list[str], by: Sequence[str] = ()) -> list[Column]:
+    """The whole order of a plan's rows, without ties; rows that its own leaves tied go by the columns `by` first."""
     rest = [F.col(t) for t in ties]
     if plan.access is not None and not plan.access.lookup:
         rest = [F.col(plan.access.column)] + rest
+    rest = [nulls_last(F.col(c)) for c in by if plan.order is None or c != plan.order.name] + rest
     if plan.order is None:
         return rest
     first = nulls_last(F.col(plan.order.name), plan.descending)

@@ -126,11 +126,11 @@ def indexed(spark: SparkSession, sf_dir: str, table: str) -> Engine:
 
 
 def _select(name: str, sql: str) -> Callable[[SparkSession, str], DataFrame]:
-    """Statements with an order also return each row's place in it."""
+    """Statements with an order also return each row's place in it, ties by the table's key as in SQL, wherever files hold its rows."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = indexed(spark, sf_dir, _table_of(sql)) if name in _STORED else engine_of(spark, sf_dir, sql)
         got = e.select(sql)
-        return got.placed("place") if " ORDER BY " in sql else got.df
+        return got.placed("place", [_KEYS[_table_of(sql)]]) if " ORDER BY " in sql else got.df
 
     return run
 

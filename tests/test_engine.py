@@ -14,7 +14,7 @@ from larkspur.engine import Engine
 from larkspur.errors import IndexCorruption, TableCorruption
 from larkspur.operators import query as query_module
 from larkspur.operators.query import Query
-from larkspur.operators.ranking import first_rows
+from larkspur.operators.ranking import first_rows, placed
 from larkspur.plans import lowering
 from larkspur.sources.records import RecordStore
 from larkspur.types import Column, DataType
@@ -296,3 +296,61 @@ def test_queries_match_sql(spark):
         at = [x[0] for x in cur.description]
         want = sorted(repr([r[at.index(c)] for c in cols]) for r in cur.fetchall())
         assert got == want and cols == sorted(at), name
+
+
+def check_places(spark, d, name):
+    """A query with an order against its SQL: as many rows, places without gaps, the same row at each."""
+    duckdb = pytest.importorskip("duckdb")
+    from larkspur.queries import ORACLE_SQL, QUERIES, SELECTS
+
+    con = duckdb.connect()
+    table = "events" if " flags" in SELECTS[name] else SELECTS[name].split(" FROM ")[1].split()[0]
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{d}/{table}.parquet{'/*.parquet' if Path(d, table + '.parquet').is_dir() else ''}')")
+    want = con.execute(ORACLE_SQL[name])
+    at = [x[0] for x in want.description].index("place")
+    assert sorted((tuple(r) for r in QUERIES[name](spark, d).collect()), key=lambda r: r[at]) == sorted(want.fetchall(), key=lambda r: r[at])
+
+
+@pytest.fixture
+def merging(spark):
+    """Sets the size (in KB) up to which Spark merges the partitions of a shuffle; 0 for none."""
+    own = "spark.sql.adaptive.coalescePartitions."
+    held = {k: spark.conf.get(k, None) for k in (f"{own}enabled", f"{own}parallelismFirst", f"{own}minPartitionSize", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+
+    def go(kb):
+        for k, v in zip(held, (str(kb > 0).lower(), "false", "1b", f"{kb or 64}k")):
+            spark.conf.set(k, v)
+
+    yield go
+    for k, v in held.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: Sizes at which the shuffle of the order columns alone is merged to fewer partitions than that of all columns, on sf0.01.
+MERGED = {"order_int_asc": 200}
+
+
+@pytest.mark.parametrize("name", MERGED)
+def test_places_hold_however_partitions_merge(spark, merging, name):
+    for kb in (MERGED[name], 0):
+        merging(kb)
+        check_places(spark, "/root/testdata/sf0.01", name)
+
+
+def test_places_are_those_of_one_shuffle(spark, merging):
+    """Bounds of ranges come from a sample, which differs from one shuffle to the next, whatever of the rows is read."""
+    merging(0)
+    n = 30_000
+    df = spark.range(0, n, 1, 4).select("id", F.xxhash64("id").alias("h"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 4).alias("wide"))
+    got = placed(df, [F.col("h").desc()], "place")
+    want = {r["id"]: k for k, r in enumerate(sorted(df.select("id", "h").collect(), key=lambda r: -r["h"]), 1)}
+    assert {r["id"]: r["place"] for r in got.select("id", "place").collect()} == want
+    assert {r["id"]: r["place"] for r in got.where("length(wide) > 0").repartition(3).collect()} == want
+    assert placed(df.limit(0), [F.col("h")], "place").collect() == []
+
+
+def test_ties_go_by_key_wherever_files_hold_the_rows(spark, tmp_path):
+    """Falling keys, in files whose names fall too."""
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    o.orderBy(F.col("o_orderkey").desc()).repartitionByRange(3, F.col("o_orderkey").desc()).write.parquet(f"{tmp_path}/orders.parquet")
+    check_places(spark, str(tmp_path), "order_int_asc")
