@@ -44,9 +44,8 @@ class BoundSelect:
         """The result with each row's place from 1 in its order; ties go by the columns `by`, then in row order."""
         (df, ties), plan = self.ordered, self.plan
         used = [*[c.name for c in plan.output], *by, *ties, *[c.name for c in [plan.order] if c], *[a.column for a in [plan.access] if a]]
-        got = placed(df.select(*dict.fromkeys(used)), order_of(plan, ties, by), name)
-        got = got if self.plan.limit is None else got.where(F.col(name) <= self.plan.limit)
-        return got.select(*[F.col(c.name) for c in self.plan.output], name)
+        got = placed(df.select(*dict.fromkeys(used)), order_of(plan, ties, by), name, plan.limit)
+        return got.select(*[F.col(c.name) for c in plan.output], name)
 
     @property
     def output_schema(self) -> Schema:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Spark's limit takes 32 bits.
 MOST = 2**31 - 1
+#: Rows under a limit up to which one task numbers them.
+FEW = 100_000
 _SPOT = "_spot"
 
 
@@ -23,11 +25,14 @@ def dealt(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(ranged.queryExecution().toRdd(), ranged.schema(), False), spark)
 
 
-def placed(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """The rows with their place from 1 in an order without ties.
+def placed(df: DataFrame, order: Sequence[Column], name: str, n: int | None = None) -> DataFrame:
+    """The rows, or the first n of them, with their place from 1 in an order without ties.
 
-    Partitions of the dealt rows are counted, so one number of each reaches the driver and no task sees all rows.
+    Partitions of the dealt rows are counted, so one number of each reaches the driver and no task sees all rows. Of few rows
+    under a limit each task keeps as many, so that no other is shuffled, and one task numbers them.
     """
+    if n is not None and n <= FEW:
+        return df.orderBy(*order).limit(n).withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
     at = dealt(df, order)
     counts = {r["p"]: r["n"] for r in at.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
     starts, total = [], 0
@@ -36,7 +41,8 @@ def placed(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
         total += counts.get(p, 0)
     at = at.sortWithinPartitions(*order).withColumn(_SPOT, F.monotonically_increasing_id())
     before = F.element_at(F.lit(starts or [0]).cast("array<bigint>"), (F.shiftright(F.col(_SPOT), 33) + 1).cast("int"))
-    return at.withColumn(name, before + F.col(_SPOT).bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop(_SPOT)
+    at = at.withColumn(name, before + F.col(_SPOT).bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop(_SPOT)
+    return at if n is None else at.where(F.col(name) <= n)
 
 
 def first_rows(df: DataFrame, order: Sequence[Column], n: int, most: int = MOST) -> DataFrame:

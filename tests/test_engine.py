@@ -13,6 +13,7 @@ from larkspur.cli import main
 from larkspur.engine import Engine
 from larkspur.errors import IndexCorruption, TableCorruption
 from larkspur.operators import query as query_module
+from larkspur.operators import ranking
 from larkspur.operators.query import Query
 from larkspur.operators.ranking import first_rows, placed
 from larkspur.plans import lowering
@@ -327,7 +328,7 @@ def merging(spark):
 
 
 #: Sizes at which the shuffle of the order columns alone is merged to fewer partitions than that of all columns, on sf0.01.
-MERGED = {"order_int_asc": 200}
+MERGED = {"order_int_asc": 200, "index_range_desc_topk": 200}
 
 
 @pytest.mark.parametrize("name", MERGED)
@@ -349,6 +350,16 @@ def test_places_are_those_of_one_shuffle(spark, merging):
     assert placed(df.limit(0), [F.col("h")], "place").collect() == []
 
 
+def test_few_places_and_many_are_alike(spark, monkeypatch):
+    df = spark.range(0, 900, 1, 3).select("id", F.when(F.col("id") % 5 != 0, F.xxhash64("id")).alias("h"))
+    order = [F.col("h").desc_nulls_last(), F.col("id")]
+    few = sorted(map(tuple, placed(df, order, "place", 800).collect()))
+    monkeypatch.setattr(ranking, "FEW", 799)
+    many = placed(df, order, "place", 800)
+    assert few == sorted(map(tuple, many.collect())) and sorted(r[2] for r in few) == list(range(1, 801)) and many.dtypes == [("id", "bigint"), ("h", "bigint"), ("place", "bigint")]
+    assert placed(df, order, "place", 0).collect() == []
+
+
 def test_ties_go_by_key_wherever_files_hold_the_rows(spark, tmp_path):
     """Falling keys, in files whose names fall too."""
     o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
