@@ -329,7 +329,7 @@ def merging(spark):
 
 #: Sizes at which the shuffle of the order columns alone is merged to fewer partitions than that of all columns, on sf0.01.
 MERGED = {"order_int_asc": 200, "index_range_desc_topk": 200, "order_int_desc": 200, "order_nulls_last_asc": 60, "order_nulls_last_desc": 60, "topk_asc": 60,
-          "order_text": 30}
+          "order_text": 30, "order_unprojected": 10}
 
 
 @pytest.mark.parametrize("name", MERGED)
